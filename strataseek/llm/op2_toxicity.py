@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataseek.llm.common import coded_words, plain_strings, sample_by_hash, slices
+from strataseek.llm.common import coded_words, fitted, plain_strings, sample_by_hash, slices
 
 CATEGORIES = ("insult", "contempt", "toxic")
 WORD_LISTS = {
@@ -131,15 +131,15 @@ class Chain:
         return np.column_stack(out) if out else np.zeros((n, len(CATEGORIES)))
 
 
-def fit_chain(texts: list[str], toxic: np.ndarray, features: int = FEATURES, folds: int = FOLDS) -> Chain:
+def fit_chain(texts: list[str] | pa.Array, toxic: np.ndarray, features: int = FEATURES, folds: int = FOLDS) -> Chain:
     """A chain from labelled texts. Features: the words whose presence tells most about the label, by signed root of the chi square."""
-    column = pa.array(texts, pa.large_string())
+    column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
     y = np.asarray(toxic, np.float64)
     n = len(y)
     if not n:
         return Chain([])
     ends, codes, words = words_of(column)
-    row = np.repeat(np.arange(n), np.diff(ends))
+    codes, row = codes.astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))
     listed = {k: np.zeros(n, bool) for k in WORD_LISTS}
     for k, names in WORD_LISTS.items():
         found = pc.index_in(pa.array(sorted(names), words.type), value_set=words).drop_null().to_numpy(zero_copy_only=False)
@@ -147,11 +147,16 @@ def fit_chain(texts: list[str], toxic: np.ndarray, features: int = FEATURES, fol
     candidates: list[tuple[str, float, np.ndarray]] = []
     for names in features_of(words):
         coded = names.dictionary_encode()
-        place = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)[codes] if len(codes) else codes
+        place = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int32)[codes] if len(codes) else codes
         here, many = place >= 0, max(1, len(coded.dictionary))
-        pairs, times = np.unique(row[here] * many + place[here], return_counts=True)
+        pairs = row[here].astype(np.int64)
+        pairs *= many
+        pairs += place[here]
+        pairs.sort()
+        first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
+        times, pairs = np.diff(np.append(first, len(pairs))), pairs[first]
         for own, mark in ((pairs, ""), (pairs[times > 1], TWICE)):
-            r, f = own // many, own % many
+            r, f = (own // many).astype(np.int32), (own % many).astype(np.int32)
             seen, with_label = np.bincount(f, minlength=many), np.bincount(f, y[r], many)
             expected = seen * y.mean()
             z = np.abs(with_label - expected) / np.sqrt(np.maximum(expected * (1 - y.mean()), 1e-9))
@@ -186,9 +191,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Fit on at most about sample_rows labelled documents, chosen by the hash of their doc_id."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("_y"))
     some = F.broadcast(sample_by_hash(known, "doc_id", sample_rows))
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(some, "doc_id").select("doc_id", "text", "_y").toArrow()
-    order = np.lexsort((rows["text"].combine_chunks().dictionary_encode().indices.to_numpy(), rows["doc_id"].to_numpy())) if rows.num_rows else []
-    return fit_chain([rows["text"][int(i)].as_py() for i in order], rows["_y"].to_numpy()[order] if rows.num_rows else np.zeros(0))
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(some, "doc_id").select("doc_id", "text", F.col("_y").cast("bigint").alias("y"))
+
+    def fit(table: pa.Table) -> tuple:
+        table = table.sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
+        texts, y = table["text"].combine_chunks(), table["y"].to_numpy()
+        chain = fit_chain(texts, y)
+        return chain.words, chain.weights
+
+    return Chain(*fitted(rows, fit))
 
 
 def scored(docs: DataFrame, chain: Chain, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:

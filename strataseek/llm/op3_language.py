@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataseek.llm.common import coded_words, plain_strings, sample_by_hash, slices
+from strataseek.llm.common import coded_words, fitted, plain_strings, sample_by_hash, slices
 
 SAMPLE_ROWS = 2_000
 ROUNDS = 3
@@ -191,8 +191,15 @@ def fit(texts: list[str], langs: list[str], pieces: list[str], rounds: int = ROU
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, model: str | None = None, rounds: int = ROUNDS) -> Languages:
     """Fit on at most about sample_rows documents that name their language, chosen by the hash of their doc_id."""
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", "text")
-    rows = sample_by_hash(known, "doc_id", sample_rows).toArrow().sort_by([("doc_id", "ascending")])
-    return fit(rows["text"].to_pylist(), rows["lang"].to_pylist(), vocabulary(model), rounds)
+    pieces = vocabulary(model)
+
+    def fit_rows(table: pa.Table) -> tuple:
+        table = table.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+        found = fit(table["text"].to_pylist(), table["lang"].to_pylist(), pieces, rounds)
+        return found.names, found.p
+
+    names, p = fitted(sample_by_hash(known, "doc_id", sample_rows), fit_rows)
+    return Languages(names, Trie.of(pieces), p)
 
 
 class Scorer:
