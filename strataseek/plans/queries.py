@@ -1,4 +1,376 @@
-"""The registered retrieval queries and their SQL."""
+"""The registered retrieval queries and their SQL. A document's path is /lang/source/doc_id, its block '0'; a vector's /emb/label/vec_id."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strataseek.functions import chunk, paths, text
+from strataseek.functions.paths import KEY
+from strataseek.operators import fulltext, fusion, mutation, vector
+
+ONE, TWO, THREE = "the and of", "que de la", "der die und"
+K = 20
+QUERY_VECTORS = (0, 7)
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("/"), "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"))
+    return spark.read.parquet(f"{d}/documents.parquet").select(path.alias("path"), F.lit("0").alias("block_id"), F.col("text").alias("content"), "doc_id", "source", "lang")
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("/emb/"), F.col("label").cast("string"), F.lit("/"), F.col("vec_id").cast("string"))
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(path.alias("path"), F.lit("0").alias("block_id"), "embedding", "vec_id")
+
+
+def _index(spark: SparkSession, d: str) -> fulltext.FullTextTables:
+    return fulltext.tables(_documents(spark, d).select(*KEY, "content"))
+
+
+def _vector_of(spark: SparkSession, d: str, *ids: int) -> list[list[float]]:
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").where(F.col("vec_id").isin(*ids)).orderBy("vec_id").collect()
+    return [list(r["embedding"]) for r in rows]
+
+
+def _rounded(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("score", F.round("score", 6)).select(*KEY, "score")
+
+
+def _ranked(spark: SparkSession, d: str, query: str, scope: list[str] | None = None) -> DataFrame:
+    return fusion.ranked(fulltext.search(_index(spark, d), [query], K, paths=scope), K)
+
+
+def vector_cosine_topk(spark, d):
+    return _rounded(vector.search(_vectors(spark, d), _vector_of(spark, d, 0), K))
+
+
+def vector_multi_query_max(spark, d):
+    return _rounded(vector.search(_vectors(spark, d), _vector_of(spark, d, *QUERY_VECTORS), K))
+
+
+def vector_path_scoped(spark, d):
+    return _rounded(vector.search(_vectors(spark, d), _vector_of(spark, d, 0), K, ["/emb/1", "/emb/2/"]))
+
+
+def vector_cosine_column(spark, d):
+    """Cosine as a column of built-in functions, for every vector."""
+    q = F.array(*[F.lit(x) for x in _vector_of(spark, d, 0)[0]])
+    v = _vectors(spark, d)
+    return v.select("vec_id", F.round(vector.cosine(F.col("embedding"), q), 6).alias("score"))
+
+
+def fts_bm25_single(spark, d):
+    return _rounded(fulltext.search(_index(spark, d), ["the"], K))
+
+
+def fts_bm25_or(spark, d):
+    return _rounded(fulltext.search(_index(spark, d), [ONE], K))
+
+
+def fts_multi_query_sum(spark, d):
+    return _rounded(fulltext.search(_index(spark, d), [ONE, "and was", "for"], K, "sum"))
+
+
+def fts_multi_query_max(spark, d):
+    return _rounded(fulltext.search(_index(spark, d), [ONE, "and was", "for"], K, "max"))
+
+
+def fts_path_scoped(spark, d):
+    return _rounded(fulltext.search(_index(spark, d), [ONE + " que"], K, paths=["/es", "/en/src1"]))
+
+
+def fts_prefix(spark, d):
+    return _rounded(fulltext.expanded_search(_index(spark, d), "thatn", K, True, None))
+
+
+def fts_fuzzy(spark, d):
+    return _rounded(fulltext.expanded_search(_index(spark, d), "thern", K, False, 0.2))
+
+
+def fts_coverage(spark, d):
+    return _rounded(fulltext.coverage_search(_index(spark, d), ONE + " zzz", K))
+
+
+def fts_rank_decay(spark, d):
+    return _rounded(fusion.rank_decay(_ranked(spark, d, ONE)))
+
+
+def fts_snippets(spark, d):
+    index = _index(spark, d)
+    return fulltext.with_snippets(_rounded(fulltext.search(index, [ONE], K)), index.blocks)
+
+
+def postings(spark, d):
+    p = _index(spark, d).postings
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
+def corpus_stats(spark, d):
+    return _index(spark, d).stats.select("blocks", F.round("avg_len", 6).alias("avg_len"))
+
+
+def rrf_two_streams(spark, d):
+    return _rounded(fusion.reciprocal_rank_fusion([("a", _ranked(spark, d, ONE), 1.0), ("b", _ranked(spark, d, "and was for"), 1.0)], K))
+
+
+def rrf_three_streams(spark, d):
+    streams = [("a", _ranked(spark, d, ONE, ["/en"]), 1.0), ("b", _ranked(spark, d, TWO, ["/es"]), 2.0), ("c", _ranked(spark, d, "and was for"), 1.0)]
+    return _rounded(fusion.reciprocal_rank_fusion(streams, K))
+
+
+def rrf_hybrid(spark, d):
+    """Lexical and vector streams over the same blocks; the pairing of a document with the vector of its number is artificial."""
+    docs = _documents(spark, d)
+    paired = spark.read.parquet(f"{d}/embeddings.parquet").join(docs.select("doc_id", *KEY), F.col("vec_id") == F.col("doc_id")).select(*KEY, "embedding")
+    near = fusion.ranked(vector.search(paired, _vector_of(spark, d, 0), K), K)
+    return _rounded(fusion.reciprocal_rank_fusion([("fts", _ranked(spark, d, ONE), 1.0), ("vec", near, 1.0)], K))
+
+
+def rrf_sub_results(spark, d):
+    """The native scores that fusion attaches."""
+    got = fusion.reciprocal_rank_fusion([("a", _ranked(spark, d, ONE), 1.0), ("b", _ranked(spark, d, "and was for"), 1.0)], K)
+    score = lambda n: F.round(F.try_element_at("sub_results", F.lit(n))["score"], 6)
+    return got.select(*KEY, score("a").alias("score_a"), score("b").alias("score_b"))
+
+
+def weighted_blend(spark, d):
+    a, b = _ranked(spark, d, ONE), _ranked(spark, d, "and was for")
+    both = a.select(*KEY, F.col("score").alias("fts"), F.col("rank")).join(b.select(*KEY, F.col("score").alias("other")), KEY, "left").withColumn("pos", F.col("rank") - 1)
+    return _rounded(fusion.weighted_blend(both, {"fts": 0.7, "other": 0.3}))
+
+
+def rerank_blend(spark, d):
+    rerank = spark.read.parquet(f"{d}/labels.parquet").join(_documents(spark, d), "doc_id").select(*KEY, F.col("quality").cast("double").alias("rerank_score"))
+    return _rounded(fusion.blend_with_reranker(_ranked(spark, d, ONE), rerank))
+
+
+def citations(spark, d):
+    index = _index(spark, d)
+    hits = fulltext.with_snippets(_ranked(spark, d, ONE).where("rank <= 3"), index.blocks)
+    return hits.select(*KEY, F.substring("snippet", 1, 100).alias("snippet"), F.round("score", 6).alias("relevance"), F.lit(f'Result for query "{ONE}"').alias("context"))
+
+
+def size_by_prefix(spark, d):
+    p = F.col("path")
+    return _documents(spark, d).agg(*[F.sum(paths.prefix_predicate(p, x).cast("int")).alias(n) for n, x in (("en", "/en"), ("es_src1", "/es/src1"), ("slash", "/de/"), ("root", "/"))])
+
+
+def distinct_paths(spark, d):
+    return _documents(spark, d).where(paths.any_prefix(F.col("path"), ["/en/src1", "/fr/"])).select("path").distinct()
+
+
+def block_refs(spark, d):
+    return _documents(spark, d).where(paths.any_prefix(F.col("path"), ["/de/src2"])).select(*KEY)
+
+
+def document_blocks(spark, d):
+    return _documents(spark, d).where(paths.any_prefix(F.col("path"), ["/es/src2"])).select(*KEY, "content")
+
+
+def upsert_last_wins(spark, d):
+    old = _documents(spark, d).select(*KEY, "content")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    new = _documents(spark, d).join(labels, "doc_id").select(*KEY, F.concat(F.lit("new "), F.col("quality").cast("string")).alias("content"), F.lit(1).alias("seq"))
+    again = new.where("content = 'new 1'").withColumns({"content": F.lit("newest"), "seq": F.lit(2)})
+    return mutation.upsert(old, mutation.last_wins(new.unionByName(again), "seq").drop("seq")).select(*KEY, F.substring("content", 1, 40).alias("head"))
+
+
+def delete_selectors(spark, d):
+    return mutation.delete(_documents(spark, d).select(*KEY), [("/en/src1", None), ("/fr/", None), ("/de/src2", "0"), ("/es/src3/1", "0")])
+
+
+def orphan_docs(spark, d):
+    docs = _documents(spark, d)
+    kept = docs.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id", "left_semi")
+    return mutation.orphan_paths(docs, kept.where("lang = 'en'"), kept.where("lang <> 'en'").select(*KEY))
+
+
+def _marked(spark, d):
+    """Documents with some lines turned into headings, rules, items, fences and blanks, which the given ones lack."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    t = F.col("text")
+    for old, new in ((". ", ".\n"), ("\nThe ", "\n# The "), ("\nDe ", "\n- De "), ("\nErer", "\n```\nErer"), ("\nEn", "\n\n## En"), ("\nTh", "\n---\n1. Th")):
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return docs.select("doc_id", t.alias("text"))
+
+
+def break_points(spark, d):
+    return chunk.break_points(_marked(spark, d), "doc_id")
+
+
+def code_fences(spark, d):
+    return chunk.code_fences(_marked(spark, d), "doc_id")
+
+
+def chunk_documents(spark, d):
+    return chunk.chunk_documents(_marked(spark, d), "doc_id", 1200, 150)
+
+
+def intent_terms(spark, d):
+    b = spark.read.parquet(f"{d}/benchmark.parquet")
+    return b.select("item_id", F.posexplode(text.intent_terms(F.col("text"))).alias("pos", "term"))
+
+
+def best_chunk(spark, d):
+    """The turn of each conversation that says most of some terms."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").where("text IS NOT NULL AND trim(text) <> ''")
+    s = c.withColumn("score", text.chunk_score(F.col("text"), ["de", "the", "que"], ["der", "and"]))
+    w = Window.partitionBy("conv_id").orderBy(F.col("score").desc(), "turn", "text")
+    return s.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("conv_id", "turn", "score")
+
+
+def lex_query_validity(spark, d):
+    b = spark.read.parquet(f"{d}/benchmark.parquet")
+    q = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit('"'), "text")).otherwise(F.replace("text", F.lit("\n"), F.lit(" ")))
+    return b.select("item_id", text.lex_query_error(q).alias("error"))
+
+
+def semantic_query_validity(spark, d):
+    b = spark.read.parquet(f"{d}/benchmark.parquet")
+    q = F.when(F.col("item_id") % 3 == 0, F.replace("text", F.lit(" the "), F.lit(" -the "))).otherwise(F.replace("text", F.lit("e "), F.lit("e- ")))
+    return b.select("item_id", text.semantic_query_error(q).alias("error"))
+
+
+def composite_key(spark, d):
+    return _documents(spark, d).select("doc_id", paths.composite_key(F.col("path"), F.col("block_id")).alias("key"))
+
+
+def escaped_like(spark, d):
+    return _documents(spark, d).select("doc_id", paths.escape_like(F.concat("path", F.lit("_%\\"))).alias("pattern"))
+
+
+def structured_query(spark, d):
+    found = text.parse_structured_query("lex: quick fox\n\nVEC: animals that jump\nhyde: A fox jumps.")
+    return spark.createDataFrame([(q.type, q.query, q.line) for q in found], "type string, query string, line int")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        vector_cosine_topk, vector_multi_query_max, vector_path_scoped, vector_cosine_column, fts_bm25_single, fts_bm25_or, fts_multi_query_sum, fts_multi_query_max, fts_path_scoped,
+        fts_prefix, fts_fuzzy, fts_coverage, fts_rank_decay, fts_snippets, postings, corpus_stats, rrf_two_streams, rrf_three_streams, rrf_hybrid, rrf_sub_results, weighted_blend,
+        rerank_blend, citations, size_by_prefix, distinct_paths, block_refs, document_blocks, upsert_last_wins, delete_selectors, orphan_docs, break_points, code_fences, chunk_documents,
+        intent_terms, best_chunk, lex_query_validity, semantic_query_validity, composite_key, escaped_like, structured_query,
+    )
+}
+
+
+# SQL
+
+DOCS = "docs AS (SELECT '/' || lang || '/' || source || '/' || doc_id AS path, '0' AS block_id, text AS content, doc_id, lang FROM documents)"
+VECS = "vecs AS (SELECT '/emb/' || label || '/' || vec_id AS path, '0' AS block_id, CAST(embedding AS DOUBLE[]) AS v, vec_id FROM embeddings)"
+POSTINGS = f"""{DOCS},
+toks AS (SELECT path, block_id, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS ts FROM docs),
+lens AS (SELECT path, block_id, len(ts) AS len, ts FROM toks WHERE len(ts) > 0),
+post AS (SELECT path, block_id, len, term, count(*) AS tf FROM (SELECT path, block_id, len, unnest(ts) AS term FROM lens) GROUP BY ALL),
+stats AS (SELECT (SELECT count(*) FROM toks) AS n, (SELECT avg(len) FROM lens) AS avg_len),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+parts AS (SELECT path, block_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS part, tf, len FROM post JOIN dfs USING (term), stats)"""
+
+
+def _under(*prefixes: str) -> str:
+    return "(" + " OR ".join(f"path = '{p}' OR starts_with(path, '{p if p.endswith('/') else p + '/'}')" for p in prefixes) + ")"
+
+
+def _hits(query: str, scope: str = "TRUE") -> str:
+    terms = ", ".join(f"'{t}'" for t in dict.fromkeys(query.lower().split()))
+    return f"SELECT path, block_id, sum(part) AS score FROM parts WHERE term IN ({terms}) AND {scope} GROUP BY ALL"
+
+
+TOP = f"ORDER BY round(score, 9) DESC, path, block_id LIMIT {K}"
+
+
+def _top(inner: str) -> str:
+    return f"SELECT path, block_id, round(score, 6) AS score FROM (SELECT * FROM ({inner}) {TOP})"
+
+
+def _rank(query: str, scope: str = "TRUE") -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, path, block_id) AS rank FROM (SELECT * FROM ({_hits(query, scope)}) {TOP})"
+
+
+def _fused(*streams: tuple[str, float]) -> str:
+    union = " UNION ALL ".join(f"SELECT path, block_id, {i} AS s, rank, {w} / (60.0 + rank) AS p FROM {name}" for i, (name, w) in enumerate(streams))
+    return f"""SELECT path, block_id, round(score, 6) AS score FROM (SELECT path, block_id,
+ sum(p) + CASE WHEN min(rank) <= 1 THEN 0.05 WHEN min(rank) <= 3 THEN 0.02 ELSE 0 END AS score, min(s * 1000000 + rank) AS first
+ FROM ({union}) GROUP BY ALL ORDER BY round(score, 9) DESC, first LIMIT {K})"""
+
+
+def _multi(how: str) -> str:
+    each = " UNION ALL ".join(f"SELECT {i} AS q, * FROM ({_hits(q)})" for i, q in enumerate([ONE, "and was", "for"]))
+    return f"WITH {POSTINGS} {_top(f'SELECT path, block_id, {how}(score) AS score FROM ({each}) GROUP BY ALL')}"
+
+
+def _cosine(where: str = "TRUE", ids: tuple[int, ...] = (0,)) -> str:
+    return f"WITH {VECS} " + _top(f"SELECT a.path, a.block_id, max(list_cosine_similarity(a.v, q.v)) AS score FROM (SELECT * FROM vecs WHERE {where}) a, (SELECT v FROM vecs WHERE vec_id IN ({', '.join(map(str, ids))})) q GROUP BY ALL")
+
+
+MARKED = """m AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(text, '. ', '.' || chr(10)), chr(10) || 'The ', chr(10) || '# The '), chr(10) || 'De ', chr(10) || '- De '),
+  chr(10) || 'Erer', chr(10) || '```' || chr(10) || 'Erer'), chr(10) || 'En', chr(10) || chr(10) || '## En'), chr(10) || 'Th', chr(10) || '---' || chr(10) || '1. Th') AS text FROM documents),
+ls AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS number, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM m WHERE text <> '')),
+lines AS (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS bare, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS position FROM ls)"""
+
+_EXPANDED = "WITH {p}, e AS (SELECT path, block_id, part * {w} AS p FROM parts WHERE {c}) "
+_BLEND_A, _BLEND_B = _rank(ONE), _rank("and was for")
+
+ORACLE: dict[str, str] = {
+    "vector_cosine_topk": _cosine(),
+    "vector_multi_query_max": _cosine(ids=QUERY_VECTORS),
+    "vector_path_scoped": _cosine(_under("/emb/1", "/emb/2/")),
+    "vector_cosine_column": f"WITH {VECS} SELECT a.vec_id, round(list_cosine_similarity(a.v, q.v), 6) AS score FROM vecs a, (SELECT v FROM vecs WHERE vec_id = 0) q",
+    "fts_bm25_single": f"WITH {POSTINGS} {_top(_hits('the'))}",
+    "fts_bm25_or": f"WITH {POSTINGS} {_top(_hits(ONE))}",
+    "fts_multi_query_sum": _multi("sum"),
+    "fts_multi_query_max": _multi("max"),
+    "fts_path_scoped": f"WITH {POSTINGS} {_top(_hits(ONE + ' que', _under('/es', '/en/src1')))}",
+    "fts_prefix": _EXPANDED.format(p=POSTINGS, w="5.0 / length(term)", c="starts_with(term, 'thatn')") + _top("SELECT path, block_id, sum(p) AS score FROM e GROUP BY ALL"),
+    "fts_fuzzy": _EXPANDED.format(p=POSTINGS, w="(1.0 / (1 + levenshtein(term, 'thern')))", c="levenshtein(term, 'thern') <= 1") + _top("SELECT path, block_id, sum(p) AS score FROM e GROUP BY ALL"),
+    "fts_coverage": f"WITH {POSTINGS} " + _top("SELECT path, block_id, count(*) / 4 + sum(tf) / any_value(len) / 8 AS score FROM parts WHERE term IN ('the', 'and', 'of', 'zzz') GROUP BY ALL"),
+    "fts_rank_decay": f"WITH {POSTINGS} SELECT path, block_id, round(1 - (rank - 1) / count(*) OVER (), 6) AS score FROM ({_rank(ONE)})",
+    "fts_snippets": f"WITH {POSTINGS} SELECT h.path, h.block_id, h.score, content AS snippet FROM ({_top(_hits(ONE))}) h JOIN docs USING (path, block_id)",
+    "postings": f"WITH {POSTINGS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term",
+    "corpus_stats": f"WITH {POSTINGS} SELECT n AS blocks, round(avg_len, 6) AS avg_len FROM stats",
+    "rrf_two_streams": f"WITH {POSTINGS}, a AS ({_rank(ONE)}), b AS ({_rank('and was for')}) {_fused(('a', 1.0), ('b', 1.0))}",
+    "rrf_three_streams": f"WITH {POSTINGS}, a AS ({_rank(ONE, _under('/en'))}), b AS ({_rank(TWO, _under('/es'))}), c AS ({_rank('and was for')}) {_fused(('a', 1.0), ('b', 2.0), ('c', 1.0))}",
+    "rrf_hybrid": f"""WITH {POSTINGS}, {VECS}, a AS ({_rank(ONE)}),
+b AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, path, block_id) AS rank FROM (SELECT docs.path, docs.block_id, list_cosine_similarity(vecs.v, q.v) AS score
+ FROM vecs JOIN docs ON vec_id = doc_id, (SELECT v FROM vecs WHERE vec_id = 0) q ORDER BY round(score, 9) DESC, docs.path, docs.block_id LIMIT {K}))
+{_fused(('a', 1.0), ('b', 1.0))}""",
+    "rrf_sub_results": f"""WITH {POSTINGS}, a AS ({_rank(ONE)}), b AS ({_rank('and was for')})
+SELECT path, block_id, round(a.score, 6) AS score_a, round(b.score, 6) AS score_b FROM ({_fused(('a', 1.0), ('b', 1.0))}) f LEFT JOIN a USING (path, block_id) LEFT JOIN b USING (path, block_id)""",
+    "weighted_blend": f"""WITH {POSTINGS}, r AS (SELECT a.path, a.block_id, a.score AS x, coalesce(b.score, 0) AS y, a.rank FROM ({_BLEND_A}) a LEFT JOIN ({_BLEND_B}) b USING (path, block_id)),
+s AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM r)
+SELECT path, block_id, round(0.7 * CASE WHEN hx = lx THEN 1 / rank ELSE (x - lx) / (hx - lx) END + 0.3 * CASE WHEN hy = ly THEN 1 / rank ELSE (y - ly) / (hy - ly) END, 6) AS score FROM r, s""",
+    "rerank_blend": f"""WITH {POSTINGS} SELECT h.path, h.block_id, round(w / rank + (1 - w) * coalesce(quality, 0), 6) AS score
+FROM (SELECT *, CASE WHEN rank <= 3 THEN 0.75 WHEN rank <= 10 THEN 0.6 ELSE 0.4 END AS w FROM ({_rank(ONE)})) h JOIN docs USING (path, block_id) LEFT JOIN labels USING (doc_id)""",
+    "citations": f"""WITH {POSTINGS} SELECT path, block_id, content[1:100] AS snippet, round(score, 6) AS relevance, 'Result for query "{ONE}"' AS context
+FROM ({_rank(ONE)}) JOIN docs USING (path, block_id) WHERE rank <= 3""",
+    "size_by_prefix": f"WITH {DOCS} SELECT " + ", ".join(f"count(*) FILTER (WHERE {_under(x)}) AS {n}" for n, x in (("en", "/en"), ("es_src1", "/es/src1"), ("slash", "/de/"), ("root", "/"))) + " FROM docs",
+    "distinct_paths": f"WITH {DOCS} SELECT DISTINCT path FROM docs WHERE {_under('/en/src1', '/fr/')}",
+    "block_refs": f"WITH {DOCS} SELECT path, block_id FROM docs WHERE {_under('/de/src2')}",
+    "document_blocks": f"WITH {DOCS} SELECT path, block_id, content FROM docs WHERE {_under('/es/src2')}",
+    "upsert_last_wins": f"WITH {DOCS} SELECT path, block_id, CASE WHEN quality = 1 THEN 'newest' WHEN quality IS NOT NULL THEN 'new ' || quality ELSE content[1:40] END AS head FROM docs LEFT JOIN labels USING (doc_id)",
+    "delete_selectors": f"WITH {DOCS} SELECT path, block_id FROM docs WHERE NOT {_under('/en/src1', '/fr/')} AND path NOT IN ('/de/src2', '/es/src3/1')",
+    "orphan_docs": f"WITH {DOCS} SELECT DISTINCT path FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "break_points": f"""WITH {MARKED}, s AS (SELECT doc_id, position, CASE WHEN bare = '' AND number > 0 THEN 20 WHEN starts_with(bare, '```') THEN 80 WHEN bare IN ('---', '___', '***') THEN 60
+ WHEN regexp_matches(line, '^#{{1,6}} ') THEN 110 - 10 * length(regexp_extract(line, '^(#+)', 1)) WHEN regexp_matches(bare, '^(\\d+\\.\\s|[-*]\\s)') THEN 5 WHEN number > 0 THEN 1 END AS score FROM lines)
+SELECT doc_id, position, CAST(score AS INTEGER) AS score FROM s WHERE score IS NOT NULL""",
+    "code_fences": f"""WITH {MARKED}, f AS (SELECT doc_id, position, row_number() OVER w AS n, lead(position) OVER w AS nxt FROM lines WHERE starts_with(bare, '```') WINDOW w AS (PARTITION BY doc_id ORDER BY number))
+SELECT doc_id, position AS start, CAST(coalesce(nxt, length(m.text)) AS INTEGER) AS "end" FROM f JOIN m USING (doc_id) WHERE n % 2 = 1""",
+    "intent_terms": f"""WITH w AS (SELECT item_id, string_split_regex(lower(text), '[\\s,.;:!?()\\[\\]{{}}"'']+') AS ws FROM benchmark),
+u AS (SELECT item_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS k FROM w),
+f AS (SELECT item_id, term, min(k) AS k FROM u WHERE term <> '' AND term NOT IN ({', '.join(f"'{x}'" for x in sorted(text.STOP_WORDS))}) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY k) - 1 AS INTEGER) AS pos, term FROM f""",
+    "best_chunk": """WITH s AS (SELECT conv_id, turn, text, CAST(contains(lower(text), 'de') AS DOUBLE) + CAST(contains(lower(text), 'the') AS DOUBLE) + CAST(contains(lower(text), 'que') AS DOUBLE)
+ + 0.5::DOUBLE * CAST(contains(lower(text), 'der') AS DOUBLE) + 0.5::DOUBLE * CAST(contains(lower(text), 'and') AS DOUBLE) AS score FROM conversations WHERE trim(text) <> '')
+SELECT conv_id, turn, score FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn, text) = 1""",
+    "lex_query_validity": """WITH q AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN '"' || text ELSE replace(text, chr(10), ' ') END AS q FROM benchmark)
+SELECT item_id, CASE WHEN contains(q, chr(10)) OR contains(q, chr(13)) THEN 'newline' WHEN (length(q) - length(replace(q, '"', ''))) % 2 = 1 THEN 'unbalanced quotes' END AS error FROM q""",
+    "semantic_query_validity": """WITH q AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN replace(text, ' the ', ' -the ') ELSE replace(text, 'e ', 'e- ') END AS q FROM benchmark)
+SELECT item_id, CASE WHEN regexp_matches(q, '(^|\\s)-[\\w"]') THEN 'negation' END AS error FROM q""",
+    "composite_key": f"WITH {DOCS} SELECT doc_id, length(path) || ':' || path || '|' || block_id AS key FROM docs",
+    "escaped_like": f"WITH {DOCS} SELECT doc_id, replace(replace(replace(path || '_%\\', '\\', '\\\\'), '%', '\\%'), '_', '\\_') AS pattern FROM docs",
+    "structured_query": "SELECT * FROM (VALUES ('lex', 'quick fox', 1), ('vec', 'animals that jump', 3), ('hyde', 'A fox jumps.', 4)) t(type, query, line)",
+}
