@@ -90,7 +90,7 @@ def corpus_counts(docs: DataFrame, order: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c * (h == 0), pa.int64()), pa.array(c * (h == 1), pa.int64())], names=["gram", "n0", "n1"])
 
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            for part in slices(batch, "text"):
                 for h in (0, 1):
                     own = part.filter(pc.equal(part.column("half"), h))
                     held[h].append(counted(grams(own.column("text"), order)[0]))
@@ -214,12 +214,10 @@ def price_table(counts: DataFrame, order: int) -> DataFrame:
 class Prices:
     """Prices of one shard for look-up: contexts sorted, and a dense row of byte prices for each where that is small."""
 
-    def __init__(self, gram: np.ndarray, bits: np.ndarray):
+    def __init__(self, gram: np.ndarray, *bits: np.ndarray):
+        """bits: one array for each half; the grams' trie is the same for both."""
         order = np.argsort(gram)
-        self.gram, self.bits = gram[order], bits[order]
-        alphabet = np.unique(self.gram & np.uint64(255)).astype(np.int64)
-        self.code = np.full(256, -1, np.int64)
-        self.code[alphabet] = np.arange(len(alphabet))
+        self.gram, self.bits = gram[order], np.column_stack(bits)[order]
         self.levels: list[np.ndarray] | None = None
         if len(gram) and len(gram) <= MAX_ROWS:
             self.build(int(max(int(self.gram.max()).bit_length() - 1, 0) // 8 + 1))
@@ -229,7 +227,7 @@ class Prices:
         keys = self.gram
         symbols = [((keys >> np.uint64(8 * (depth - 1 - i))) & np.uint64(255)).astype(np.int64) for i in range(depth)]
         self.bytes = np.unique(np.concatenate([np.unique(s) for s in symbols]))
-        self.code = np.full(256, -1, np.int64)
+        self.code = np.full(256, -1, np.int32)
         self.code[self.bytes] = np.arange(len(self.bytes))
         a, node, levels = len(self.bytes), np.zeros(len(keys), np.int64), []
         for i in range(depth):
@@ -244,24 +242,25 @@ class Prices:
         self.levels, self.depth = levels, depth
         self.at = self.bits[np.argsort(node, kind="stable")]
 
-    def of(self, gram: np.ndarray) -> np.ndarray:
-        """The price of each gram, 0 for those of other shards."""
+    def of(self, gram: np.ndarray, half: np.ndarray | int = 0) -> np.ndarray:
+        """The price of each gram in a document of its half, 0 for those of other shards."""
         if self.levels is None:
             if not len(self.gram):
                 return np.zeros(len(gram), np.float32)
             at = np.minimum(np.searchsorted(self.gram, gram), len(self.gram) - 1)
-            return np.where(self.gram[at] == gram, self.bits[at], np.float32(0))
+            return np.where(self.gram[at] == gram, self.bits[at, half], np.float32(0))
         a = len(self.bytes)
-        node = np.zeros(len(gram), np.int64)
+        node = np.zeros(len(gram), np.int32)
         dead = np.zeros(len(gram), bool)
         for i, table in enumerate(self.levels):
-            c = self.code[((gram >> np.uint64(8 * (self.depth - 1 - i))) & np.uint64(255)).astype(np.int64)]
-            node = table[node * a + c]
-            dead |= (node < 0) | (c < 0)
-            node = np.where(dead, 0, node).astype(np.int64)
+            c = self.code[((gram >> np.uint64(8 * (self.depth - 1 - i))) & np.uint64(255)).astype(np.uint8)]
+            dead |= c < 0
+            node = table[node * np.int32(a) + c]
+            dead |= node < 0
+            node[dead] = 0
         if self.depth < 8:
             dead |= (gram >> np.uint64(8 * self.depth)) > 0
-        return np.where(dead, np.float32(0), self.at[node])
+        return np.where(dead, np.float32(0), self.at[node, half])
 
 
 def code_lengths(docs: DataFrame, order: int = ORDER, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -294,15 +293,12 @@ def _coder(held, order: int, rows: bool):
         import xxhash
 
         gram, *bits = held.value
-        tables = [Prices(gram, b) for b in bits]
+        table = Prices(gram, *bits)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 half = part.column("half").to_numpy()
                 g, sizes = grams(part.column("text"), order)
-                own = np.repeat(half, sizes)
-                price = np.zeros(len(g), np.float32)
-                for h in (0, 1):
-                    price[own == h] = tables[h].of(g[own == h])
+                price = table.of(g, np.repeat(half.astype(np.int8), sizes))
                 sums = np.concatenate(([0.0], np.cumsum(price, dtype=np.float64)))
                 ends = np.concatenate(([0], np.cumsum(sizes)))
                 columns = [part.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(sums[ends[1:]] - sums[ends[:-1]])]
