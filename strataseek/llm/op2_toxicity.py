@@ -172,7 +172,7 @@ def fit_chain(texts: list[str] | pa.Array, toxic: np.ndarray, features: int = FE
     row = np.concatenate([c[2] for c in candidates]) if candidates else np.zeros(0, np.int64)
     feature = np.repeat(np.arange(len(candidates)), [len(c[2]) for c in candidates])
     chain, width, earlier = Chain(chosen), len(chosen), np.zeros((n, 0))
-    fold = np.arange(n) % folds
+    fold = np.random.Generator(np.random.PCG64(2)).permutation(n) % folds  # no pattern in the order of rows can empty a fold of a class
     for k in CATEGORIES:
         target = y * listed[k] if k in listed else y
         out_of_fold = np.zeros(n)

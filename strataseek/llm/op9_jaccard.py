@@ -253,7 +253,7 @@ def jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, component (the smallest id) of every node of edges (a, b), by large-star and small-star rounds until nothing changes."""
+    """id, component (the smallest id) of every node of edges (a, b) that isn't its component's smallest, by large-star and small-star rounds until nothing changes."""
     now = written(edges.select("a", "b").where("a <> b").distinct(), "stars")
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
