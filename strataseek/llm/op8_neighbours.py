@@ -26,8 +26,8 @@ from strataseek.llm.common import written
 
 K = 10
 BLOCK = 2_048
-#: A query block's partners are split over so many tasks at most.
-PARTS = 8
+#: A task takes so many query blocks and as many of their partners: the grid of tasks grows with the tiles, so no task does.
+SIDE = 4
 BLOCK_SCHEMA = "block bigint, n int, dim int, ids binary, floats binary, ints binary, scale binary, size binary, error binary"
 
 
@@ -133,15 +133,15 @@ class Heaps:
         return len(q)
 
 
-def neighbours(vectors: DataFrame, key: str = "vec_id", k: int = K, block: int = BLOCK, parts: int = PARTS) -> DataFrame:
+def neighbours(vectors: DataFrame, key: str = "vec_id", k: int = K, block: int = BLOCK, side: int = SIDE) -> DataFrame:
     """key, rank (from 1), neighbour, distance (1 - cosine): the k nearest others of every vector."""
     table = written(blocks(vectors, key, block), "ann-blocks")
     n = table.count()
-    parts = max(1, min(parts, n))
-    left = table.repartition(max(1, n), "block") if n > 1 else table
-    right = table.select(*[F.col(c).alias("o_" + c) for c in table.columns]).withColumn("_part", F.pmod("o_block", F.lit(parts)))
-    # each left block goes to parts tasks, and each right block to all left blocks' tasks of its part
-    left = left.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    parts = max(1, -(-n // side))
+    cells = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
+    # the grid: a query block goes to all cells of its row, a partner to all of its column
+    left = table.withColumns({"_row": F.pmod("block", F.lit(parts)), "_column": cells})
+    right = table.select(*[F.col(c).alias("o_" + c) for c in table.columns]).withColumns({"_column": F.pmod("o_block", F.lit(parts)), "_row": cells})
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple[int, Side, Heaps] | None = None
@@ -162,7 +162,7 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", k: int = K, block: int =
         if now is not None:
             yield out()
 
-    pairs = left.join(right.hint("shuffle_hash"), "_part").drop("_part")
+    pairs = left.join(right.hint("shuffle_hash"), ["_row", "_column"]).drop("_row", "_column")
     heaps = pairs.mapInArrow(tiles, "block bigint, ids binary, distance binary, other binary")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
