@@ -82,6 +82,57 @@ def test_merkle_corpus(spark, odd):
     assert op1_merkle.corpus_fingerprints(odd.limit(0)).count() == 0
 
 
+def model_bases(rows, hot):
+    """{doc_id: base_id} by comparing all pairs, for distinct doc_ids."""
+    trees, own = {d: model_tree(t) for d, t in rows}, {}
+    for d in sorted(trees):
+        own.setdefault(trees[d][0], d)
+    own = sorted(own.values())
+    leaves = {d: {h for s in trees[d][2] for h in s} for d in own}
+    nodes = {d: {n for n, s in zip(*trees[d][1:]) if len(s) > 1} for d in own}
+    count = Counter(k for d in own for k in leaves[d] | nodes[d])
+    first = {}
+    for d in own:
+        for k in leaves[d] | nodes[d]:
+            first.setdefault(k, d)
+    out = {}
+    for d in own:
+        best = (0, 0, 0)
+        for e in (e for e in own if e < d):
+            rare = sum(count[k] <= hot for k in leaves[d] & leaves[e])
+            other = sum(count[k] <= hot for k in nodes[d] & nodes[e]) + sum(count[k] > hot and first[k] == e for k in (leaves[d] & leaves[e]) | (nodes[d] & nodes[e]))
+            best = max(best, (rare, other, -e)) if rare or other else best
+        if best[:2] > (0, 0):
+            out[d] = -best[2]
+    return out
+
+
+def test_merkle_near_copies_without_a_common_section(spark):
+    text = "\n".join(f"paragraph {i} of a short document" for i in range(6))
+    while len(model_tree(text)[1]) > 1:
+        text = text.replace("paragraph", "paragraph x")
+    lines = text.split("\n")
+    edited = "\n".join([*lines[:2], "changed", *lines[3:]])
+    while set(model_tree(edited)[1]) & set(model_tree(text)[1]):
+        edited = edited.replace("changed", "changed y")
+    rows = [(1, lines[0] + " alone\n" + lines[4], "", ""), (2, text, "", ""), (3, edited, "", ""), (4, "no relative", "", "")]
+    got = {r["doc_id"]: (r["base_id"], r["edited"]) for r in op1_merkle.corpus_fingerprints(docs_of(spark, rows)).collect()}
+    assert got[3] == (2, [2]) and got[1] == got[4] == (None, None)
+
+
+@pytest.mark.parametrize("hot", [2, 64])
+def test_merkle_bases_equal_the_model(spark, monkeypatch, hot):
+    monkeypatch.setattr(op1_merkle, "HOT", hot)
+    rng, rows = random.Random(4), []
+    for i in range(60):
+        base = rows[rng.randrange(len(rows))][1].split("\n") if rows and rng.random() < 0.7 else [f"line {rng.randint(0, 400)}" for _ in range(rng.randint(1, 25))]
+        for _ in range(rng.randint(0, 3)):
+            base[rng.randrange(len(base))] = rng.choice(["the license line", "", f"new {rng.randint(0, 999)}"])
+        rows.append((i * 7 % 60, "\n".join(base)))
+    got = {r["doc_id"]: r["base_id"] for r in op1_merkle.corpus_fingerprints(docs_of(spark, [(d, t, "", "") for d, t in rows])).collect()}
+    assert {d: b for d, b in got.items() if b is not None} == model_bases(rows, hot)
+
+
 # ops 2 and 3
 
 
