@@ -20,8 +20,25 @@ from pyspark.sql import functions as F
 
 from strataseek.llm.common import written
 
-#: name, words of which the lower-cased text must hold one (a cheap test before the pattern), pattern for both Java and RE2 with one group.
+#: An assigned value of at least LEAST_LENGTH characters; a shorter one lacks LEAST_KINDS, so it could only be a placeholder. In quotes it has
+#: anything but a line's end, and a quote after a backslash; bare, anything but white space and quotes, less a sentence's or bracket's end.
+LEAST_LENGTH = 8
+QUOTED = r"(?<=Q)[^Q\\\n]*+(?:\\.[^Q\\\n]*+)*+(?=Q)"
+BARE = r"[^\s\"']*[^\s\"',;:.)\]}>]"
+#: name, words of which the lower-cased text must hold one (a cheap test before the pattern), Java pattern with one group. None has an upper
+#: length: a value ends where its characters do, a quoted one at its quote.
 PATTERNS = [
+    ("aws_key", ("akia", "asia"), r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b"),
+    ("github_token", ("ghp_", "gho_", "ghs_", "ghu_", "github_pat_"), r"\b((?:gh[posu]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{60,}))"),
+    ("slack_token", ("xox",), r"\b(xox[abprs]-[A-Za-z0-9-]{10,})"),
+    ("google_key", ("aiza",), r"\b(AIza[0-9A-Za-z_-]{35,})"),
+    ("provider_key", ("sk-", "sk_live", "pk_live", "rk_live"), r"\b((?:sk-[A-Za-z0-9_-]{20,}|[spr]k_live_[A-Za-z0-9]{16,}))"),
+    ("jwt", ("eyj",), r"\b(eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})"),
+    ("private_key", ("private key",), r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,}-----END [A-Z ]*PRIVATE KEY-----)"),
+    ("assignment", ("token", "secret", "passw", "pwd", "api", "key", "credential"), r"(?i:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?[ \t]*(?:=>|:=|=|:)[ \t]*[\"']?(" + QUOTED.replace("Q", '"') + "|" + QUOTED.replace("Q", "'") + "|" + BARE + ")"),
+]
+#: The patterns of the registered SQL, for RE2. They bound lengths and know no punctuation, so the SQL lacks what PATTERNS has beyond that.
+SQL_PATTERNS = [
     ("aws_key", ("akia", "asia"), r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b"),
     ("github_token", ("ghp_", "gho_", "ghs_", "ghu_", "github_pat_"), r"\b((?:gh[posu]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{60,90}))\b"),
     ("slack_token", ("xox",), r"\b(xox[abprs]-[A-Za-z0-9-]{10,80})"),
@@ -46,6 +63,8 @@ def _found(text: Column) -> Column:
         for h in hints[1:]:
             hinted = hinted | low.contains(h)
         got = F.when(hinted, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+        if kind == "assignment":
+            got = F.filter(got, lambda x: F.length(x) >= LEAST_LENGTH)
         each.append(F.transform(F.array_distinct(got), _named(kind)))
     return F.concat(*each)
 
@@ -96,7 +115,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 def _sql() -> str:
     each = " UNION ALL ".join(
         f"SELECT doc_id, coalesce(source, '') AS repo, '{kind}' AS kind, unnest(list_distinct(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}', 1))) AS secret FROM documents WHERE {' OR '.join(f'contains(lower(text), {chr(39)}{h}{chr(39)})' for h in hints)}"
-        for kind, hints, p in PATTERNS
+        for kind, hints, p in SQL_PATTERNS
     )
     return f"""
 WITH f AS ({each}),

@@ -219,6 +219,27 @@ def test_secrets(spark, odd):
     assert op7_secrets.secret_scan(odd.limit(0)).count() == 0
 
 
+LETTERS = "q7Rw2Te9Yu4Io1Pa6Sd8Fg3Hj5Kl0Zx"
+WHOLE = [  # text around %s, and the secret
+    ('token = "%s" end', (LETTERS * 10)[:300]), ("token: %s, end", (LETTERS * 10)[:300]), ("a %s b", "xoxb-" + (LETTERS * 4)[:110]), ("a %s b", "sk-proj-" + (LETTERS * 6)[:156]),
+    ("a %s b", "sk-proj-" + ("a1-B_" * 40)[:155] + "-"), ("a %s b", "sk_live_" + (LETTERS * 4)[:90]), ("a %s b", "ghp_" + (LETTERS * 2)[:50]), ("password = %s", "Tr0ub4dor9xQ7"), ("password = %s.", "Tr0ub4d0r!@#$%%x"), ("pwd='%s'", "it is \"4\" w0rds"),
+    ('{"password": "%s"}', "p@ss,w0rd;(1)."), ('secret = "%s" end', 'ab\\"cd\\"9efgh'), ('secret = "%s and no quote', "zq8x!vm2k?"),
+]
+
+
+@pytest.mark.parametrize("around,secret", WHOLE)
+def test_secrets_are_taken_whole(around, secret, spark):
+    secret = secret.replace("%%", "%")
+    out = {r["text"] for r in op7_secrets.redacted(docs_of(spark, [(1, around.replace("%s", secret), "en", "a/x"), (2, "password = hunter2 and token: none", "en", "b")])).collect()}
+    assert out == {around.replace("%s", op7_secrets.REDACTED), "password = hunter2 and token: none"}
+
+
+def test_secret_values_end_where_they_end(spark):
+    text = 'api_key = "" token=q8Zx7!vB2m) password = "two w0rds here" + "other" secret: `' + "\npassword\n= no"
+    got = {r["secret"] for r in op7_secrets.candidates(docs_of(spark, [(1, text, "en", "a")])).collect()}
+    assert got == {"q8Zx7!vB2m", "two w0rds here"}
+
+
 def test_redaction(spark, odd):
     out = op7_secrets.redacted(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
