@@ -222,7 +222,8 @@ class Scorer:
         return out
 
     def __call__(self, texts: pa.Array, declared: list[str | None]) -> tuple:
-        """lang, score for each character, lead over the next language, and the share of words that the declared language explains best."""
+        """lang, score for each character, lead over the next language, the share of words that the declared language explains better than all others, and its own
+        score for each character less the best one (null if the model lacks it), the best score for each character over words without a digit, and how many characters those have."""
         names, n = self.model.names, len(texts)
         ends, codes, words = coded_words(texts)
         letters = pc.match_substring_regex(words, r"\pL").to_numpy(zero_copy_only=False).astype(bool)
@@ -230,30 +231,42 @@ class Scorer:
         ends = np.concatenate(([0], np.cumsum(keep)))[ends]
         codes = codes[keep]
         if not names:
-            return ["und"] * n, [None] * n, [None] * n, [None] * n
+            return ["und"] * n, *([None] * n for _ in range(6))
         by_word = np.zeros((len(words), len(names)))
         by_word[letters] = self.words(words.filter(pa.array(letters)))
         sums = np.concatenate((np.zeros((1, len(names))), np.cumsum(by_word[codes], 0)))
         total = sums[ends[1:]] - sums[ends[:-1]]
-        chars = np.concatenate(([0], np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False)[codes] + 1)))
+        sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        chars = np.concatenate(([0], np.cumsum(sizes[codes])))
         chars = chars[ends[1:]] - chars[ends[:-1]]
+        bare = ~pc.match_substring_regex(words, r"\d").to_numpy(zero_copy_only=False).astype(bool)  # keys, dates and the like are no language's
+        sums = np.concatenate((np.zeros((1, len(names))), np.cumsum((by_word * bare[:, None])[codes], 0)))
+        plain = (sums[ends[1:]] - sums[ends[:-1]]).max(1)
+        spelt = np.concatenate(([0], np.cumsum((sizes * bare)[codes])))
+        spelt = spelt[ends[1:]] - spelt[ends[:-1]]
         best = total.argmax(1)
         ordered = np.sort(total, 1)
         lead = ordered[:, -1] - ordered[:, -2] if len(names) > 1 else np.full(n, np.inf)
-        agrees = by_word >= by_word.max(1, keepdims=True) - 1e-9
+        top = np.sort(by_word, 1)[:, -2:]
+        agrees = by_word >= top[:, -1:] - 1e-9
+        if len(names) > 1:
+            agrees &= (top[:, 1] - top[:, 0] > 1e-9)[:, None]  # a tie, as of a word that no language knows, speaks for none
         cum = np.concatenate((np.zeros((1, len(names))), np.cumsum(agrees[codes], 0)))
         share = (cum[ends[1:]] - cum[ends[:-1]]) / np.maximum(np.diff(ends), 1)[:, None]
-        lang, score, ahead, own = [], [], [], []
+        lang, score, ahead, own, behind, known = [], [], [], [], [], []
         for i in range(n):
             some = chars[i] > 0
             lang.append(names[best[i]] if some else "und")
             score.append(float(total[i, best[i]] / chars[i]) if some else None)
             ahead.append(float(lead[i]) if some else None)
-            own.append(float(share[i, names.index(declared[i])]) if some and declared[i] in names else None)
-        return lang, score, ahead, own
+            claim = names.index(declared[i]) if some and declared[i] in names else None
+            own.append(None if claim is None else float(share[i, claim]))
+            behind.append(None if claim is None else float((total[i, claim] - total[i, best[i]]) / chars[i]))
+            known.append(float(plain[i] / spelt[i]) if spelt[i] else None)
+        return lang, score, ahead, own, behind, known, spelt.tolist()
 
 
-EXTRA = "language string, score double, lead double, own_share double"
+EXTRA = "language string, score double, lead double, own_share double, behind double, plain double, n_plain double"
 
 
 def scored(docs: DataFrame, model: Languages, keep: list[str]) -> DataFrame:
@@ -265,9 +278,9 @@ def scored(docs: DataFrame, model: Languages, keep: list[str]) -> DataFrame:
         scorer = Scorer(held.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                lang, score, lead, own = scorer(plain_strings(part.column("text")), part.column("lang").to_pylist())
-                extra = [pa.array(lang, pa.string()), *(pa.array(x, pa.float64()) for x in (score, lead, own))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, "language", "score", "lead", "own_share"])
+                lang, score, *rest = scorer(plain_strings(part.column("text")), part.column("lang").to_pylist())
+                extra = [pa.array(lang, pa.string()), *(pa.array(x, pa.float64()) for x in (score, *rest))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*part.schema.names, "language", "score", "lead", "own_share", "behind", "plain", "n_plain"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema), EXTRA])
     return given.mapInArrow(run, schema)

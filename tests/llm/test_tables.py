@@ -393,3 +393,25 @@ def test_pipeline(spark, tmp_path):
     assert len({r["sequence"] for r in kept[4]}) == sum(k for _, k, _ in plan.groups)
     whole = corpus_pipeline.run(spark, d)
     assert sorted(map(str, whole.collect())) == sorted(map(str, kept[4]))
+
+
+def test_pipeline_drops_mislabelled_and_unknown_languages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    common = {
+        "en": "the of and to in is was for that with this from have they which there would been about house water people other when your said each she how their will up out many then them these so some her make like him into time has look two more write go see number no way could than first".split(),
+        "de": "der die und das ist nicht mit sich von auf ein eine auch wird werden haben hatte durch zwischen wasser haus menschen andere wenn ihre sagte jede wie ich du aber nach bei nur noch schon immer wieder kann muss über sehr zeit zwei mehr schreiben gehen sehen zahl kein weg könnte als".split(),
+    }
+    say = lambda la: " ".join(rng.choice(common[la]) for _ in range(60))
+    rows = [(i, say(la), la, "o1/r") for i, la in enumerate(["en", "de"] * 80)]
+    russian = "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью и должны поступать в духе братства"
+    mixed = say("de") + " " + " ".join(say("en").split()[:8])  # own words above 5 %
+    planted = {900: (say("de"), "en"), 901: (mixed, "en"), 902: (russian, "en"), 903: ("人人生而自由在尊严和权利上一律平等他们赋有理性和良心", "de"), 904: (say("en"), "xx")}
+    stay = {910: (say("de"), None), 911: (russian, "ru"), 912: (say("en") + " 9f3c47be21d05a86e1f79f3c47be21d05a86e1f7" * 9, "en"), 913: ("haus", "en"), 914: (say("en"), "en-US")}
+    extra = docs_of(spark, [(d, t, la, "o1/r") for d, (t, la) in (planted | stay).items()])
+    model = op3_language.fit([r[1] for r in rows], [r[2] for r in rows], op3_language.vocabulary())
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(op3_language, "train", lambda docs: model)
+        kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs_of(spark, rows).unionByName(extra), "").collect()}
+    assert kept == {r[0] for r in rows} | set(stay)
