@@ -175,7 +175,7 @@ def upsert_last_wins(spark, d):
     labels = spark.read.parquet(f"{d}/labels.parquet")
     new = _documents(spark, d).join(labels, "doc_id").select(*KEY, F.concat(F.lit("new "), F.col("quality").cast("string")).alias("content"), F.lit(1).alias("seq"))
     again = new.where("content = 'new 1'").withColumns({"content": F.lit("newest"), "seq": F.lit(2)})
-    return mutation.upsert(old, mutation.last_wins(new.unionByName(again), "seq").drop("seq")).select(*KEY, F.substring("content", 1, 40).alias("head"))
+    return mutation.upsert(old, mutation.last_wins(new.unionByName(again), "seq").drop("seq")).select(*KEY, "content")
 
 
 def delete_selectors(spark, d):

@@ -376,3 +376,14 @@ def test_pipeline_errors_are_tolerated(searched):
 def test_mocks():
     assert [q.type for q in mock_expander("q", "i", 3)] == ["lex", "vec", "hyde"] and len(mock_expander("q", max_variations=1)) == 1
     assert [s.score for s in mock_reranker()("q", [(("/a", "1"), ""), (("/a", "2"), "")], top_k=1)] == [1.0]
+
+
+def test_registered_upsert_returns_whole_texts(spark, tmp_path):
+    from strataseek.plans import queries
+
+    long = "word " * 50 + "end"
+    rows = [(1, long, "en", "src1", len(long)), (2, long, "en", "src2", len(long)), (3, long, "en", "src3", len(long))]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.QUERIES["upsert_last_wins"](spark, str(tmp_path)).collect()
+    assert sorted(r["content"] for r in got) == ["new 0", "newest", long]
