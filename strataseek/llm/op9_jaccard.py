@@ -1,15 +1,18 @@
-"""N-gram Jaccard join: all pairs of documents whose sets of word n-grams are alike.
+"""N-gram Jaccard join: which documents have word n-gram sets that are alike, as classes, links and pairs.
 
-Words are lower-cased runs between white space; a text of fewer than n words has one gram, all of it. The join goes by tiles. A tile holds the documents that agree in one of BANDS keys of
-three min-hashes; in it rows are sorted by size, and a row meets only the band of sizes that the threshold allows. Each document has a bitmap
-of its hashed grams: a bit that one has and the other lacks is a gram of one that the other lacks, so bit counts bound the overlap from above, and what
-can't reach the threshold goes no further. Pairs left are settled exactly, on sorted arrays of 64-bit gram hashes. A pair is met in the first tile it shares and in no other.
+Words are lower-cased runs between white space; a text of fewer than n words has one gram, all of it. Texts with equal words are one entry: the join compares
+entries, and what copies add follows without any comparison. The join goes by tiles. A tile holds the entries that agree in one of BANDS keys of
+ROWS min-hashes; in it rows are sorted by size, and a row meets only the band of sizes that the threshold allows. A tile of more than CELL rows
+is cut into cells: by size class, of which only neighbours can be alike, and by the hash of the row within a class; a pair of rows meets in one cell. Each entry has a
+bitmap of its hashed grams, two to four bits for each, which folds to that of a smaller one: a bit that one has and the other lacks is a gram of one that the
+other lacks, so bit counts bound the overlap from above, and what can't reach the threshold goes no further. Pairs left are settled exactly, on sorted arrays of
+64-bit gram hashes. A pair is met in the first tile it shares and in no other.
 
-Texts with equal words are one entry until the end: the join sees one of them, and their pairs follow without any comparison. There is no cap on tiles, partners or
-candidates. A pair at the threshold shares no tile with probability (1 - t^3)^BANDS, 4 in 100 for t = 0.5 and below 1 in 10,000 from 0.7 up.
+What leaves a cell is linear in its rows (each row's links and the smallest row it is connected with), never its pairs; only similar_texts returns pairs. There is no cap
+on tiles, partners or candidates. A pair at Jaccard j shares no tile with probability (1 - j^ROWS)^BANDS: 1 in 10,000 at 0.5, below 1 in 10^9 from 0.7 up.
 
-Defined results: null and blank texts have no grams and no partner; a null doc_id is left out; rows with the same doc_id and words count once, and a doc_id with several
-texts is in a pair if one of them is, with the largest Jaccard, never with itself. Only doc_id and text are read, so other columns can't clash.
+Defined results: a null doc_id is left out; null and blank texts have no grams and no links; rows with the same doc_id and words count once; a doc_id with several texts is one document in
+classes, and its links are those of its texts, one another's among them. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -25,14 +28,13 @@ from strataseek.llm.common import coded_words, hashes_of, mixed, plain_strings,
 
 N = 3
 THRESHOLD = 0.5
-BANDS, ROWS = 24, 3
-BITS = 1_024
+BANDS, ROWS = 32, 2
 _random = np.random.Generator(np.random.PCG64(9))
-FACTORS = _random.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+FACTORS = (_random.integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+SHIFTS = _random.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)[:, None]
 WORD_FACTORS = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Pairs of a tile looked at in one step.
-STEP = 500_000
+#: Pairs of a tile looked at in one step, and rows that a tile has before it is cut into cells.
+STEP, CELL = 500_000, 2_048
 
 
 def gram_sets(texts: pa.Array, n: int = N) -> Iterator[tuple[np.ndarray, int]]:
@@ -53,70 +55,91 @@ def gram_sets(texts: pa.Array, n: int = N) -> Iterator[tuple[np.ndarray, int]]:
 
 
 def min_hash_keys(grams: np.ndarray) -> np.ndarray:
-    """BANDS keys, each of ROWS min-hashes."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for s in range(0, len(grams), 4_096):
-        np.minimum(low, (grams[s : s + 4_096, None] * FACTORS + SHIFTS).min(0), out=low)
-    low = mixed(low).reshape(BANDS, ROWS)
+    """BANDS keys, each of ROWS min-hashes; 32 bits of a gram's hash go in, so equal sets have equal keys and few others do."""
+    low, x = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32), (grams >> np.uint64(32)).astype(np.uint32)
+    for s in range(0, len(x), 4_096):
+        np.minimum(low, (x[None, s : s + 4_096] * FACTORS + SHIFTS).min(1), out=low)
+    low = mixed(low.astype(np.uint64) + np.arange(BANDS * ROWS, dtype=np.uint64) * np.uint64(1 << 32)).reshape(BANDS, ROWS)
     return mixed((low * WORD_FACTORS[:ROWS]).sum(1) + np.arange(BANDS, dtype=np.uint64))
 
 
 def bitmap(grams: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(grams >> np.uint64(20)).astype(np.int64) % BITS] = 1
+    """A power of two of bits, at least 64, two to four for each gram."""
+    width = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(grams >> np.uint64(10)).astype(np.int64) & (width - 1)] = 1
     return np.packbits(bits)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps, rows of 64-bit words, as those of so many words would be."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
 def signatures(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, words (a hash of all words, 128 bits), n_grams, keys, bits of the documents that have words."""
-    given = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    """doc_id, words (a hash of all words, 128 bits, null where there are none), n_grams, keys, bits."""
+    given = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 rows: list[tuple] = []
                 for d, (g, whole) in zip(part.column("doc_id").to_pylist(), gram_sets(plain_strings(part.column("text")), n)):
-                    if len(g):
-                        second = int(mixed(g).sum())
-                        rows.append((d, whole.to_bytes(8, "big") + second.to_bytes(8, "big"), len(g), min_hash_keys(g).tobytes(), bitmap(g).tobytes()))
-                if rows:
-                    types = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "words", "n_grams", "keys", "bits"])
+                    rows.append((d, words_key(g, whole), len(g), min_hash_keys(g).tobytes(), bitmap(g).tobytes()) if len(g) else (d, None, 0, None, None))
+                types = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "words", "n_grams", "keys", "bits"])
 
     return given.mapInArrow(run, "doc_id bigint, words binary, n_grams int, keys binary, bits binary")
 
 
+def words_key(grams: np.ndarray, whole: int) -> bytes:
+    return whole.to_bytes(8, "big") + int(mixed(grams).sum()).to_bytes(8, "big")
+
+
 def _needed(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     """The overlap that sets of sizes a and b need for a Jaccard of t."""
     return np.ceil(t / (1 + t) * (a + b) - 1e-9)
 
 
-def tile_candidates(key: np.ndarray, size: np.ndarray, band: np.ndarray, keys: np.ndarray, bits: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j), i < j, of rows of one tile that may reach t. Rows are sorted by key, then size; keys [rows, BANDS], bits [rows, words of 64]."""
-    n = len(key)
-    new = np.concatenate(([True], key[1:] != key[:-1])) if n else np.zeros(0, bool)
-    tile = np.cumsum(new)
+def tile_candidates(tile: np.ndarray, size: np.ndarray, band: np.ndarray, side: np.ndarray, keys: np.ndarray, bits: list[bytes], t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i < j, of rows of one tile that may reach t. Rows are sorted by tile, then size; keys [rows, BANDS]; side: 0, or 1 and 2 where only rows of different sides meet."""
+    n = len(tile)
+    new = np.concatenate(([True], tile[1:] != tile[:-1])) if n else np.zeros(0, bool)
+    number = np.cumsum(new)
     # one increasing number from tile and size, so that one search finds where the size band of each row ends
     scale = int(size.max()) + 2 if n else 1
-    at = tile * scale + size
-    end = np.searchsorted(at, tile * scale + np.minimum(np.floor(size / t + 1e-9), scale - 1).astype(np.int64), side="right")
+    end = np.searchsorted(number * scale + size, number * scale + np.minimum(np.floor(size / t + 1e-9), scale - 1).astype(np.int64), side="right")
     partners = np.maximum(end - np.arange(n) - 1, 0)
     done = np.concatenate(([0], np.cumsum(partners)))
+    width = np.fromiter(map(len, bits), np.int64, n) // 8
+    by_width = {int(w): (at := np.flatnonzero(width == w), np.frombuffer(b"".join([bits[i] for i in at.tolist()]), np.uint64).reshape(len(at), int(w))) for w in np.unique(width)}
+    place = np.zeros(n, np.int64)
+    for at, _ in by_width.values():
+        place[at] = np.arange(len(at))
+    narrow: dict[tuple[int, int], np.ndarray] = {}
     s = 0
     while s < n:
-        e = max(s + 1, int(np.searchsorted(done, done[s] + STEP, side="right")) - 1)
-        e = min(e, n)
+        e = min(n, max(s + 1, int(np.searchsorted(done, done[s] + STEP, side="right")) - 1))
         i = np.repeat(np.arange(s, e), partners[s:e])
         j = ragged(np.arange(s, e) + 1, partners[s:e])
         for u in range(0, len(i), STEP):
             a, b = i[u : u + STEP], j[u : u + STEP]
-            first = (keys[a] == keys[b]).argmax(1) == band[a]
+            first = ((keys[a] == keys[b]).argmax(1) == band[a]) & ((side[a] != side[b]) | (side[a] == 0))
             a, b = a[first], b[first]
-            x, y = bits[a], bits[b]
-            over = np.minimum(size[a] - np.bitwise_count(x & ~y).sum(1), size[b] - np.bitwise_count(y & ~x).sum(1))
-            ok = over >= _needed(size[a], size[b], t)
-            if ok.any():
-                yield a[ok], b[ok]
+            for w, v in {(int(x) >> 32, int(x) & 0xFFFFFFFF) for x in np.unique(width[a] << 32 | width[b])}:
+                here = np.flatnonzero((width[a] == w) & (width[b] == v))
+                if (w, v) not in narrow:
+                    narrow[w, v] = folded(by_width[v][1], w)
+                for k in range(0, len(here), max(1, 4_000_000 // w)):
+                    p, q = a[here[k : k + max(1, 4_000_000 // w)]], b[here[k : k + max(1, 4_000_000 // w)]]
+                    x, y = by_width[w][1][place[p]], narrow[w, v][place[q]]
+                    over = np.minimum(size[p] - np.bitwise_count(x & ~y).sum(1), size[q] - np.bitwise_count(y & ~x).sum(1))
+                    ok = over >= _needed(size[p], size[q], t)
+                    if ok.any():
+                        yield p[ok], q[ok]
         s = e
 
 
@@ -139,117 +162,161 @@ def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def _fixed(column: pa.ChunkedArray, dtype, width: int) -> np.ndarray:
-    """A column of equally long binaries as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
+def entries_of(sig: DataFrame) -> DataFrame:
+    """eid, words, head (the smallest doc_id with these words), copies (doc_ids with them), n_rows (rows of the head), n_grams, keys, bits: one row for each text. Written, so that eid stays."""
+    some = sig.where("words IS NOT NULL")
+    heads = some.groupBy("words", "doc_id").agg(F.count(F.lit(1)).alias("n_rows")).groupBy("words").agg(F.min(F.struct("doc_id", "n_rows")).alias("_h"), F.count(F.lit(1)).alias("copies"))
+    heads = heads.select("words", "_h.doc_id", "_h.n_rows", "copies")
+    found = some.join(heads, ["words", "doc_id"]).dropDuplicates(["words", "doc_id"])
+    return written(found.select(F.monotonically_increasing_id().alias("eid"), "words", F.col("doc_id").alias("head"), "copies", "n_rows", "n_grams", "keys", "bits"), "jaccard-entries")
 
 
-def entry_pairs(docs: DataFrame, entries: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """a, b, jaccard of the entries (doc_id, n_grams, keys, bits) of docs that are alike; a < b."""
-    spark = docs.sparkSession
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def cells_of(entries: DataFrame, t: float, cell: int = CELL) -> DataFrame:
+    """tile, eid, band, side: the rows of every tile that has two or more, a larger one in cells."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 k = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.repeat(b.column("doc_id").to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows))], names=["key", "doc_id", "band"])
-
-    keyed = entries.select("doc_id", "keys").mapInArrow(explode, "key bigint, doc_id bigint, band int")
-    # tiles of one row end here, before anything wide moves
-    shared = keyed.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("_n > 1").drop("_n")
-    wide = shared.join(entries, "doc_id").select("key", "doc_id", "band", "n_grams", "keys", "bits")
-    wide = wide.repartition(shuffles, "key").sortWithinPartitions("key", "n_grams", "doc_id")
+                each = [np.repeat(b.column(c).to_numpy(), BANDS) for c in ("eid", "n_grams")]
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(each[0]), pa.array(each[1]), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows))], names=["key", "eid", "n_grams", "band"])
+
+    keyed = entries.select("eid", "n_grams", "keys").mapInArrow(explode, "key bigint, eid bigint, n_grams int, band int")
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    shared = written(keyed.join(counts, "key"), "jaccard-shared")
+    cold = shared.where(F.col("_n") <= cell).select(F.col("key").alias("tile"), "eid", "band", F.lit(0).alias("side"))
+    # sizes of one class differ by less than 1 / t, so what is alike is in the same class or in the next
+    hot = shared.where(F.col("_n") > cell).withColumn("_c", F.floor(F.log(F.col("n_grams")) / F.lit(float(-np.log(t))) + 1e-9).cast("int"))
+    parts = hot.groupBy("key", "_c").agg(F.ceil(F.count(F.lit(1)) * 2 / cell).cast("int").alias("_p"))  # a cell has two parts
+    parts = parts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("_c", "_p"))).alias("_parts"))  # a key has as many as there are classes, some twenty
+    hot = hot.join(parts, "key").withColumn("_s", F.pmod(F.xxhash64("eid", "key"), F.element_at("_parts", F.col("_c"))).cast("int"))
+
+    def met(other, make):
+        many = F.coalesce(F.try_element_at("_parts", other), F.lit(0))
+        return F.when(many > 0, F.transform(F.sequence(F.lit(0), many - 1), make)).otherwise(F.array().cast("array<struct<c:int,d:int,i:int,j:int,side:int>>"))
+
+    c, s = F.col("_c"), F.col("_s")
+    row = lambda c, d, i, j, side: F.struct(c.cast("int").alias("c"), F.lit(d).alias("d"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    own = met(c, lambda j: row(c, 0, F.least(s, j), F.greatest(s, j), F.when(s == j, 0).when(s < j, 1).otherwise(2)))
+    after = met(c + 1, lambda j: row(c, 1, s, j, F.lit(1)))
+    before = met(c - 1, lambda j: row(c - 1, 1, j, s, F.lit(2)))
+    hot = hot.withColumn("_m", F.explode(F.concat(own, after, before)))
+    return cold.unionByName(hot.select(F.xxhash64("key", "_m.c", "_m.d", "_m.i", "_m.j").alias("tile"), "eid", "band", F.col("_m.side").alias("side")))
+
+
+def settled(docs: DataFrame, entries: DataFrame, n: int, t: float, want: str) -> DataFrame:
+    """What the exact intersections of all candidates give. want: 'pairs' (a, b: heads, jaccard), 'links' (eid, links: copies of the entries alike, head, root: the
+    smallest head it is connected with in its cell), or 'roots' (the same without links, where a pair that is connected already needs no intersection)."""
+    spark = docs.sparkSession
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wide = cells_of(entries, t).join(entries.select("eid", "n_grams", "keys", "bits"), "eid").select("tile", "eid", "band", "side", "n_grams", "keys", "bits")
+    wide = wide.repartition(shuffles, "tile").sortWithinPartitions("tile", "n_grams", "eid")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tb in whole_groups(batches, "key"):
-            key, ids, size, band = (tb[c].to_numpy() for c in ("key", "doc_id", "n_grams", "band"))
-            found = list(tile_candidates(key, size.astype(np.int64), band, _fixed(tb["keys"], np.int64, BANDS), _fixed(tb["bits"], np.uint64, BITS // 64), t))
+        for tb in whole_groups(batches, "tile"):
+            tile, ids, size, band, side = (tb[c].to_numpy() for c in ("tile", "eid", "n_grams", "band", "side"))
+            keys = np.frombuffer(b"".join(tb["keys"].to_pylist()), np.int64).reshape(-1, BANDS)
+            found = list(tile_candidates(tile, size.astype(np.int64), band, side, keys, tb["bits"].to_pylist(), t))
             if not found:
                 continue
             a, b = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-            # one row for each document of the tile, with its partners by place among them: what is sent later grows with documents, not pairs
+            # one row for each entry of the tile, with its partners by place among them: what is sent later grows with rows, not pairs
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
             rows = np.unique(np.concatenate([a, b]))
             starts, stops = np.searchsorted(a, rows), np.searchsorted(a, rows, side="right")
             partners = [ids[b[s:e]].tobytes() for s, e in zip(starts, stops)]
-            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(ids[rows]), pa.array(partners, pa.binary())], names=["key", "doc_id", "partners"])
+            yield pa.RecordBatch.from_arrays([pa.array(tile[rows]), pa.array(ids[rows]), pa.array(partners, pa.binary())], names=["tile", "eid", "partners"])
 
-    met = written(wide.mapInArrow(meet, "key bigint, doc_id bigint, partners binary"), "jaccard-met")
-    needed = met.select("doc_id").distinct()
+    met = written(wide.mapInArrow(meet, "tile bigint, eid bigint, partners binary"), "jaccard-met")
+    needed = entries.select("eid", "words", "head", "copies", "n_rows").join(met.select("eid").distinct(), "eid", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                got = [g.tobytes() for g, _ in gram_sets(plain_strings(part.column("text")), n)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(got, pa.binary())], names=["doc_id", "grams"])
+                got = [(words_key(g, whole), g.tobytes()) if len(g) else (None, None) for g, whole in gram_sets(plain_strings(part.column("text")), n)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*got))], names=["head", "words", "grams"])
 
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").join(needed, "doc_id", "left_semi")
-    grams = texts.mapInArrow(sets, "doc_id bigint, grams binary")
-    settled = met.join(grams, "doc_id").repartition(shuffles, "key").sortWithinPartitions("key")
+    def grams(heads: DataFrame) -> DataFrame:
+        texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").join(heads.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        return texts.mapInArrow(sets, "head bigint, words binary, grams binary").join(heads, ["head", "words"]).select("eid", "head", "copies", "grams")
+
+    repeated = grams(needed.where("n_rows > 1")).groupBy("eid").agg(F.first("head").alias("head"), F.first("copies").alias("copies"), F.first("grams").alias("grams"))
+    held = grams(needed.where("n_rows = 1")).unionByName(repeated)
+    both = met.join(held, "eid").select("tile", "eid", "partners", "head", "copies", "grams").repartition(shuffles, "tile").sortWithinPartitions("tile")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tb in whole_groups(batches, "key"):
-            key, ids = tb["key"].to_numpy(), tb["doc_id"].to_numpy()
-            partners, grams = tb["partners"].to_pylist(), tb["grams"].to_pylist()
-            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                yield from exact(ids[s:e], partners[s:e], grams[s:e])
-
-    def exact(ids: np.ndarray, partners: list[bytes], grams: list[bytes]) -> Iterator[pa.RecordBatch]:
-        """The pairs of one tile whose Jaccard reaches t."""
-        arrays = [np.frombuffer(g, np.uint64) for g in grams]
-        sizes = np.array([len(x) for x in arrays], np.int64)
+        for tb in whole_groups(batches, "tile"):
+            tile, columns = tb["tile"].to_numpy(), [tb[c].to_numpy() for c in ("eid", "head", "copies")]
+            partners, sets = tb["partners"].to_pylist(), tb["grams"].to_pylist()
+            cuts = [0, *(np.flatnonzero(np.diff(tile)) + 1).tolist(), len(tile)]
+            out = [_cell(*(c[s:e] for c in columns), partners[s:e], sets[s:e], t, want) for s, e in zip(cuts[:-1], cuts[1:])]
+            out = [np.concatenate(c) for c in zip(*out)]
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b", "jaccard"] if want == "pairs" else ["eid", "links", "head", "root"])
+
+    return both.mapInArrow(settle, "a bigint, b bigint, jaccard double" if want == "pairs" else "eid bigint, links bigint, head bigint, root bigint")
+
+
+def _cell(ids: np.ndarray, heads: np.ndarray, copies: np.ndarray, partners: list[bytes], grams: list[bytes], t: float, want: str) -> tuple[np.ndarray, ...]:
+    """The rows of one cell that settled makes of it."""
+    arrays, order = [np.frombuffer(g, np.uint64) for g in grams], np.argsort(ids)
+    sizes = np.array([len(x) for x in arrays], np.int64)
+    others = [order[np.searchsorted(ids[order], np.frombuffer(p, np.int64))] for p in partners]
+    dense = sum(map(len, others)) > 4 * len(ids)
+    if dense:  # the cell's grams by number, so that a row is marked once for all its partners
         starts = np.cumsum(sizes) - sizes
-        _, place = np.unique(np.concatenate(arrays), return_inverse=True)  # the tile's grams, numbered in order
+        _, place = np.unique(np.concatenate(arrays), return_inverse=True)
         mark = np.zeros(int(place.max()) + 1, bool)
-        where: dict[int, list[int]] = {}
-        for i, d in enumerate(ids.tolist()):
-            where.setdefault(d, []).append(i)
-        out: list[list] = [[], [], []]
-        for i in range(len(ids)):
-            others = np.array([x for d in np.frombuffer(partners[i], np.int64).tolist() for x in where.get(d, ())], np.int64)
-            if not len(others):
+    label, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+    pairs: list[tuple] = []
+    for i in sorted(range(len(ids)), key=lambda i: -len(others[i])):
+        o = others[i]
+        for u in range(0, len(o), 2_000):
+            part = o[u : u + 2_000]
+            if want == "roots":
+                part = part[label[part] != label[i]]
+            if not len(part):
                 continue
-            mine = place[starts[i] : starts[i] + sizes[i]]
-            mark[mine] = True
-            for u in range(0, len(others), 2_000):
-                o = others[u : u + 2_000]
-                common = np.add.reduceat(mark[place[ragged(starts[o], sizes[o])]].astype(np.int64), np.cumsum(sizes[o]) - sizes[o])
-                j = common / (sizes[i] + sizes[o] - common)
-                ok = j >= t - 1e-12
-                out[0].append(np.minimum(ids[i], ids[o[ok]]))
-                out[1].append(np.maximum(ids[i], ids[o[ok]]))
-                out[2].append(j[ok])
-            mark[mine] = False
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["a", "b", "jaccard"])
-
-    return settled.mapInArrow(settle, "a bigint, b bigint, jaccard double").where("a <> b")
-
-
-def joined(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id and the entry it belongs to; pairs: a, b, jaccard of entries)."""
-    sig = written(signatures(docs, n), "jaccard-signatures")
-    heads = sig.groupBy("words").agg(F.min("doc_id").alias("entry"))
-    members = sig.select("doc_id", "words").join(heads, "words").select("doc_id", "entry").distinct()
-    entries = sig.join(heads, (sig["words"] == heads["words"]) & (sig["doc_id"] == heads["entry"]), "left_semi").dropDuplicates(["doc_id", "words"]).select("doc_id", "n_grams", "keys", "bits")
-    return members, written(entry_pairs(docs, entries, n, t), "jaccard-pairs")
+            firsts = np.cumsum(sizes[part]) - sizes[part]
+            if dense:
+                mine = place[starts[i] : starts[i] + sizes[i]]
+                mark[mine] = True
+                hit = mark[place[ragged(starts[part], sizes[part])]]
+                mark[mine] = False
+            else:
+                theirs = np.concatenate([arrays[x] for x in part])
+                hit = arrays[i][np.minimum(np.searchsorted(arrays[i], theirs), sizes[i] - 1)] == theirs
+            common = np.add.reduceat(hit.astype(np.int64), firsts)
+            j = common / (sizes[i] + sizes[part] - common)
+            part, j = part[j >= t - 1e-12], j[j >= t - 1e-12]
+            if not len(part):
+                continue
+            if want == "pairs":
+                pairs.append((np.minimum(heads[i], heads[part]), np.maximum(heads[i], heads[part]), j))
+                continue
+            links[part] += copies[i]
+            links[i] += copies[part].sum()
+            label[np.isin(label, label[part])] = label[i]
+    if want == "pairs":
+        return tuple(np.concatenate(c) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, heads)
+    some = links > 0
+    return ids[some], links[some], heads[some], least[label][some]
 
 
-def jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """doc_a, doc_b, jaccard of all pairs with a Jaccard of at least t, doc_a < doc_b."""
-    members, pairs = joined(docs, n, t)
-    members = written(members, "jaccard-members")
-    same = pairs.select("a", "b", "jaccard")
-    a, b = members.select("doc_id", "entry").toDF("doc_a", "a"), members.select("doc_id", "entry").toDF("doc_b", "b")
-    across = same.join(a, "a").join(b, "b").select("doc_a", "doc_b", "jaccard")
-    crowded = members.groupBy("entry").count().where("count > 1").select("entry")
-    own = members.join(crowded, "entry", "left_semi").select("doc_id", "entry")
-    within = own.toDF("doc_a", "e").join(own.toDF("doc_b", "e"), "e").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
-    both = across.unionByName(within.where("doc_a < doc_b")).where("doc_a <> doc_b")
-    return both.groupBy(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).agg(F.round(F.max("jaccard"), 9).alias("jaccard"))
+def similar_texts(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """doc_a, doc_b, jaccard of the pairs of different texts, each by the smallest doc_id that has it, with a Jaccard of at least t. Copies are in members."""
+    entries = entries_of(written(signatures(docs, n), "jaccard-signatures"))
+    found = settled(docs, entries, n, t, "pairs").where("a <> b")
+    return found.groupBy(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).agg(F.round(F.max("jaccard"), 9).alias("jaccard"))
+
+
+def members(docs: DataFrame, n: int = N) -> DataFrame:
+    """doc_id, representative: the smallest doc_id with the same words, for each text of each document."""
+    some = signatures(docs, n).where("words IS NOT NULL").select("doc_id", "words").distinct()
+    return some.join(some.groupBy("words").agg(F.min("doc_id").alias("representative")), "words").select("doc_id", "representative")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -269,19 +336,39 @@ def components(edges: DataFrame) -> DataFrame:
     return after.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
 
 
+def _classes(docs: DataFrame, n: int, t: float, count: bool) -> DataFrame:
+    sig = written(signatures(docs, n), "jaccard-signatures")
+    entries = entries_of(sig)
+    found = written(settled(docs, entries, n, t, "links" if count else "roots"), "jaccard-settled")
+    links = found.groupBy("eid").agg(F.sum("links").alias("_l"))
+    info = entries.select("eid", "words", "head", "copies").join(links, "eid", "left").select("words", "head", (F.col("copies") - 1 + F.coalesce("_l", F.lit(0))).alias("_l"))
+    texts = sig.select("doc_id", "words").distinct().join(info, "words", "left")
+    each = written(texts.groupBy("doc_id").agg(F.min("head").alias("head"), F.coalesce(F.sum("_l"), F.lit(0)).alias("n_links"), F.count("head").alias("_t")), "jaccard-documents")
+    several = each.where("_t > 1").select("doc_id", F.col("head").alias("b"))  # a document with several texts ties them
+    tied = texts.join(several, "doc_id").select(F.col("head").alias("a"), "b")
+    class_of = components(found.select(F.col("head").alias("a"), F.col("root").alias("b")).unionByName(tied)).select(F.col("id").alias("head"), "component")
+    return each.join(class_of, "head", "left").select("doc_id", F.coalesce("component", "head", "doc_id").alias("class_id"), "n_links")
+
+
+def jaccard_join(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id that a chain of links leads to), n_links (texts of other documents with a Jaccard of at least t, each copy counting) of every document."""
+    return _classes(docs, n, t, True)
+
+
 def duplicate_groups(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """doc_id, kept: the smallest doc_id that a chain of pairs leads to, for the documents that aren't it."""
-    members, pairs = joined(docs, n, t)
-    stars = members.where("doc_id <> entry").select(F.col("doc_id").alias("a"), F.col("entry").alias("b"))
-    found = components(pairs.select("a", "b").unionByName(stars))
-    return found.where("id <> component").select(F.col("id").alias("doc_id"), F.col("component").alias("kept"))
+    """doc_id, kept: the smallest doc_id that a chain of links leads to, for the documents that aren't it. Of a cell whose rows are connected already no more pairs are intersected."""
+    return _classes(docs, n, t, False).where("doc_id <> class_id").select("doc_id", F.col("class_id").alias("kept"))
 
 
 ORACLE = f"""
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {N} THEN [array_to_string(ws, ' ')]
-        ELSE list_transform(generate_series(1, len(ws) - {N - 1}), lambda i: array_to_string(list_slice(ws, i, i + {N - 1}), ' ')) END) AS gram FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, round(c / (x.n + y.n - c), 9) AS jaccard FROM p JOIN n x ON x.doc_id = doc_a JOIN n y ON y.doc_id = doc_b WHERE c / (x.n + y.n - c) >= {THRESHOLD}
+WITH RECURSIVE w AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS ws FROM documents WHERE doc_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (ORDER BY doc_id, ws) AS rid FROM w),
+g AS (SELECT DISTINCT rid, doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {N} THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(generate_series(1, len(ws) - {N - 1}), lambda i: array_to_string(list_slice(ws, i, i + {N - 1}), ' ')) END) AS gram FROM r),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, any_value(a.doc_id) AS doc_a, any_value(b.doc_id) AS doc_b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+e AS (SELECT doc_a, doc_b FROM p JOIN n x ON x.rid = p.a JOIN n y ON y.rid = p.b WHERE c / (x.n + y.n - c) >= {THRESHOLD}),
+reach AS (SELECT DISTINCT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, e.doc_b FROM reach JOIN e ON e.doc_a = reach.b),
+l AS (SELECT doc_a, count(*) AS n FROM e GROUP BY doc_a)
+SELECT a AS doc_id, min(b) AS class_id, CAST(coalesce(any_value(l.n), 0) AS BIGINT) AS n_links FROM reach LEFT JOIN l ON l.doc_a = reach.a GROUP BY a
 """

@@ -308,23 +308,83 @@ def near_copies(seed, families=12):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_jaccard_join(spark, odd, seed):
-    rows = [(d + 100, t) for d, t in near_copies(seed)] + [(r["doc_id"], r["text"]) for r in odd.collect()]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS entry", "2 AS keys", "'k' AS key", "3 AS bits")
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in op9_jaccard.jaccard_join(df).collect()}
-    want = brute_pairs(rows)
-    assert all(want.get(k) == v for k, v in got.items())
-    assert len(got) >= 0.97 * len(want) and all(k in got for k, v in want.items() if v > 0.7)
-    assert op9_jaccard.jaccard_join(df.limit(0)).count() == 0
+def brute_classes(rows, t=op9_jaccard.THRESHOLD):
+    """{doc_id: (class_id, n_links)} by comparing all distinct texts of all documents."""
+    texts = sorted({(d, tuple((text or "").lower().split())) for d, text in rows if d is not None})
+    sets = [grams(" ".join(w)) for _, w in texts]
+    links, edges = Counter(), []
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= t:
+            links.update([texts[i][0], texts[j][0]])
+            edges.append((texts[i][0], texts[j][0]))
+    top = union_find(edges)
+    return {d: (top.get(d, d), links[d]) for d, _ in texts}
+
+
+ONE_ID_TWO_TEXTS = [(1, "a b c d e f g"), (1, "p q r s t u v"), (2, "a b c d e f g"), (3, "p q r s t u v"), (4, "x1 x2 x3"), (4, "x1 x2 x3"), (5, "x1 x2  X3"), (6, "m1 m2 m3 m4 m5 m6"), (6, "m1 m2 m3 m4 m5 m7")]
+
+
+@pytest.mark.parametrize("seed,cell", [(0, 2_048), (1, 2_048), (2, 4)])
+def test_jaccard_classes(spark, odd, seed, cell, monkeypatch):
+    monkeypatch.setattr(op9_jaccard.cells_of, "__defaults__", (cell,))
+    rows = [(d + 100, t) for d, t in near_copies(seed)] + [(r["doc_id"], r["text"]) for r in odd.collect()] + [(d + 9000, t) for d, t in ONE_ID_TWO_TEXTS]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS entry", "2 AS keys", "'k' AS key", "3 AS bits", "4 AS eid", "5 AS words")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in op9_jaccard.jaccard_join(df).collect()}
+    want = brute_classes(rows)
+    assert got == want
+    assert {r["doc_id"]: r["kept"] for r in op9_jaccard.duplicate_groups(df).collect()} == {d: c for d, (c, _) in want.items() if c != d}
+
+
+def test_jaccard_pairs_and_members(spark, odd):
+    rows = [(d + 100, t) for d, t in near_copies(7)] + [(r["doc_id"], r["text"]) for r in odd.collect()]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    first = {}
+    for d, text in sorted((d, tuple(text.lower().split())) for d, text in rows if d is not None and text and text.split()):
+        first.setdefault(text, d)
+    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in op9_jaccard.similar_texts(df).collect()}
+    assert got == brute_pairs([(d, " ".join(w)) for w, d in first.items()])
+    assert {(r["doc_id"], r["representative"]) for r in op9_jaccard.members(df).collect()} == {(d, first[tuple(text.lower().split())]) for d, text in rows if d is not None and text and text.split()}
+    assert op9_jaccard.jaccard_join(df.limit(0)).count() == op9_jaccard.similar_texts(df.limit(0)).count() == 0
+
+
+def test_one_id_with_two_texts_makes_no_pair_of_others(spark):
+    df = spark.createDataFrame(ONE_ID_TWO_TEXTS, "doc_id bigint, text string")
+    assert {tuple(r) for r in op9_jaccard.jaccard_join(df).collect()} == {(1, 1, 2), (2, 1, 1), (3, 1, 1), (4, 4, 1), (5, 4, 1), (6, 6, 2)}
+    assert op9_jaccard.similar_texts(df).count() == 0
+
+
+@pytest.mark.parametrize("m", [300, 3_000])
+def test_a_family_of_near_copies_leaves_a_cell_in_rows(m):
+    rng = np.random.default_rng(m)
+    base = np.sort(rng.integers(0, 2**63, 120, dtype=np.uint64))
+    texts = [np.unique(np.append(np.delete(base, rng.integers(0, 120, 3)), rng.integers(0, 2**63, 3, dtype=np.uint64))) for _ in range(m)]
+    ids = np.arange(m)
+    partners = [ids[i + 1 :].tobytes() for i in range(m)]
+    done = []
+    with pytest.MonkeyPatch.context() as mp:
+        mp.setattr(op9_jaccard, "ragged", lambda a, b, f=op9_jaccard.ragged: (done.append(len(a)), f(a, b))[1])
+        out = op9_jaccard._cell(ids, ids + 5, np.ones(m, np.int64), partners, [g.tobytes() for g in texts], 0.5, "roots")
+    assert sum(done) == m - 1  # intersections
+    assert len(out[0]) == m and set(out[3].tolist()) == {5}
+
+
+def test_recall_of_tiles_at_the_threshold():
+    rng, missed = np.random.default_rng(3), 0
+    for _ in range(3_000):
+        pool = rng.integers(0, 2**63, 150, dtype=np.uint64)  # 50 common of 100 and 100: a Jaccard of 1 / 2 is 66 of 99
+        x, y = np.concatenate([pool[:50], pool[50:75]]), np.concatenate([pool[:50], pool[75:100]])
+        missed += not (op9_jaccard.min_hash_keys(x) == op9_jaccard.min_hash_keys(y)).any()
+    assert missed <= 5
 
 
 def test_bit_counts_bound_the_overlap():
     rng = np.random.default_rng(9)
     pool = rng.integers(0, 2**63, 900, dtype=np.uint64)
     for _ in range(50):
-        x, y = (np.unique(rng.choice(pool, rng.integers(1, 700))) for _ in range(2))
-        bx, by = op9_jaccard.bitmap(x), op9_jaccard.bitmap(y)
+        x, y = sorted((np.unique(rng.choice(pool, rng.integers(1, 700))) for _ in range(2)), key=len)
+        bx, by = (op9_jaccard.bitmap(v).view(np.uint64)[None, :] for v in (x, y))
+        assert 2 * len(y) <= by.size * 64 <= max(64, 4 * len(y))
+        by = op9_jaccard.folded(by, bx.shape[1])
         bound = min(len(x) - np.bitwise_count(bx & ~by).sum(), len(y) - np.bitwise_count(by & ~bx).sum())
         assert bound >= len(np.intersect1d(x, y))
 
