@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = sc.getCheckpointDir()
     if not folder:
+        if not sc.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir isn't set; on a cluster it must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strataseek-"))
         folder = sc.getCheckpointDir()
     return folder
@@ -36,9 +38,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Delete the tables that written made in this process, once the results that read them are stored; how many there were."""
+    n = len(_written)
+    for path in _written:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written.clear()
+    return n
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about limit bytes in the column; one long row is a part of its own."""
     n = batch.num_rows
@@ -97,13 +113,35 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def sample_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About rows of df, at most 1.2 times as many, the same in every run: those whose key's hash falls in a share of the range."""
-    total = df.select(F.count(F.lit(1))).first()[0]
-    share = 1.0 if total <= rows else rows / total
-    if share >= 1:
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Sorted batches, cut so that the rows of one value of column are never apart."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        v = b.column(column).to_numpy()
+        cut = int(np.searchsorted(v, v[-1]))
+        if cut == 0 and held and held[-1].column(column)[-1].as_py() != v[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def sample_by_hash(df: DataFrame, rows: int, total: int | None = None) -> DataFrame:
+    """About rows of df, the same in every run: the distinct ones whose hash (of all columns, 64 bits) falls in the share rows / total of the range.
+
+    Rows that repeat count once, so no key or text can fill the sample however often it occurs. total: df's rows, counted if not given.
+    """
+    total = df.select(F.count(F.lit(1))).first()[0] if total is None else total
+    if total <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(F.lit(42), F.col(key)), F.lit(1_000_003)) < int(share * 1_000_003)).limit(int(rows * 1.2))
+    least = max(1, (rows << 64) // total) - (1 << 63)
+    return df.where(F.xxhash64(F.lit(42), *[F.col(c) for c in df.columns]) < F.lit(least).cast("bigint")).dropDuplicates()
 
 
 def fitted(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:

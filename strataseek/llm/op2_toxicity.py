@@ -1,10 +1,10 @@
 """Toxicity by classifier chains.
 
-The categories are predicted one after the other: insult (nouns thrown at a person), contempt (words that
-belittle), then toxic, the label itself. Each model is linear in the words and beginnings of words a document holds (once, twice) and the logits of the
-categories before it; those logits, at training, are out-of-fold predictions, so that a later model learns how far
-to trust an earlier one on text that one hasn't seen. Only the last has labels of its own; the first two take the
-label where a document has a word of the category's list, which trains on but doesn't decide the score.
+The categories are predicted one after the other: two kinds of toxic documents, then toxic, the label itself. Each model is linear in the words and
+beginnings of words a document holds (once, twice) and the probabilities of the categories before it; those, at training, are out-of-fold
+predictions, so that a later model learns how far to trust an earlier one on text that one hasn't seen. The given labels
+name one category only. The two kinds are derived from the sample, without any word list: its toxic documents are cut in two by 2-means on
+the features that tell most about the label, so they are whatever two vocabularies toxic documents have, and the larger comes first.
 
 The chain is fitted on a bounded sample of the labelled rows (sample_rows); all documents and whole texts are scored.
 
@@ -26,13 +26,10 @@ from pyspark.sql import functions as F
 
 from strataseek.llm.common import coded_words, fitted, plain_strings, sample_by_hash, slices
 
-CATEGORIES = ("insult", "contempt", "toxic")
-WORD_LISTS = {
-    "insult": frozenset("idiot moron clown loser scum trash fool imbecile dimwit jerk coward pig liar freak".split()),
-    "contempt": frozenset("pathetic worthless disgusting stupid useless ugly filthy vile dumb repulsive hopeless".split()),
-}
+CATEGORIES = ("kind_1", "kind_2", "toxic")
 SAMPLE_ROWS = 8_000
-FEATURES = 1_024
+#: Features of a model, at most; each is in LEAST_ROWS rows of the sample at least and in MOST_SHARE of them at most. Those about which the kinds are formed.
+FEATURES, LEAST_ROWS, MOST_SHARE, KIND_FEATURES = 1_024, 3, 0.9, 64
 FOLDS = 3
 PREFIXES = (4, 5, 6, 7)
 TWICE = "#2"
@@ -113,9 +110,29 @@ def fit_linear(row: np.ndarray, feature: np.ndarray, n: int, scale: np.ndarray,
     return w
 
 
+def two_kinds(row: np.ndarray, feature: np.ndarray, n: int, scale: np.ndarray, y: np.ndarray, rounds: int = 10) -> np.ndarray:
+    """Whether each row is nearer to the first of two centres of the toxic rows, by 2-means on their KIND_FEATURES strongest features, begun with those that have the strongest one and the rest."""
+    strong = np.argsort(-scale, kind="stable")[:KIND_FEATURES]
+    number = np.full(len(scale) + 1, -1)
+    number[strong] = np.arange(len(strong))
+    use = number[feature] >= 0 if len(feature) else np.zeros(0, bool)
+    x = np.zeros((n, max(1, len(strong))))
+    x[row[use], number[feature[use]]] = 1
+    toxic, first = y > 0, x[:, 0] > 0
+    for _ in range(rounds):
+        if not (toxic & first).any() or not (toxic & ~first).any():
+            break
+        a, b = x[toxic & first].mean(0), x[toxic & ~first].mean(0)
+        after = ((x - a) ** 2).sum(1) <= ((x - b) ** 2).sum(1)
+        if (after == first).all():
+            break
+        first = after
+    return first if (toxic & first).sum() * 2 >= toxic.sum() else ~first
+
+
 @dataclass
 class Chain:
-    """A fitted chain. words: the features, a beginning marked by ^, two occurrences by TWICE; weights: for each category its words', earlier logits' and intercept's weights."""
+    """A fitted chain. words: the features, a beginning marked by ^, two occurrences by TWICE; weights: for each category its words', earlier probabilities' and intercept's weights."""
 
     words: list[str]
     weights: list[np.ndarray] = field(default_factory=list)
@@ -127,7 +144,7 @@ class Chain:
         for w in self.weights:
             z = (np.bincount(row, w[feature], n) if len(row) else np.zeros(n)) + earlier @ w[width:-1] + w[-1]
             out.append(sigmoid(z))
-            earlier = np.column_stack([earlier, np.clip(z, -10, 10)])
+            earlier = np.column_stack([earlier, out[-1]])
         return np.column_stack(out) if out else np.zeros((n, len(CATEGORIES)))
 
 
@@ -140,10 +157,6 @@ def fit_chain(texts: list[str] | pa.Array, toxic: np.ndarray, features: int = FE
         return Chain([])
     ends, codes, words = words_of(column)
     codes, row = codes.astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))
-    listed = {k: np.zeros(n, bool) for k in WORD_LISTS}
-    for k, names in WORD_LISTS.items():
-        found = pc.index_in(pa.array(sorted(names), words.type), value_set=words).drop_null().to_numpy(zero_copy_only=False)
-        listed[k][row[np.isin(codes, found)]] = True
     candidates: list[tuple[str, float, np.ndarray]] = []
     for names in features_of(words):
         coded = names.dictionary_encode()
@@ -160,7 +173,7 @@ def fit_chain(texts: list[str] | pa.Array, toxic: np.ndarray, features: int = FE
             seen, with_label = np.bincount(f, minlength=many), np.bincount(f, y[r], many)
             expected = seen * y.mean()
             z = np.abs(with_label - expected) / np.sqrt(np.maximum(expected * (1 - y.mean()), 1e-9))
-            z[(seen < 3) | (seen > 0.9 * n)] = 0
+            z[(seen < LEAST_ROWS) | (seen > MOST_SHARE * n)] = 0
             best = np.flatnonzero(z > 2)
             best = best[np.argsort(-z[best], kind="stable")][:features]
             order = np.argsort(f, kind="stable")
@@ -173,24 +186,25 @@ def fit_chain(texts: list[str] | pa.Array, toxic: np.ndarray, features: int = FE
     feature = np.repeat(np.arange(len(candidates)), [len(c[2]) for c in candidates])
     chain, width, earlier = Chain(chosen), len(chosen), np.zeros((n, 0))
     fold = np.random.Generator(np.random.PCG64(2)).permutation(n) % folds  # no pattern in the order of rows can empty a fold of a class
+    first = two_kinds(row, feature, n, scale, y)
     for k in CATEGORIES:
-        target = y * listed[k] if k in listed else y
+        target = {"kind_1": y * first, "kind_2": y * ~first}.get(k, y)
         out_of_fold = np.zeros(n)
         for f in range(folds):
             use, held = fold != f, fold == f
             renamed = np.cumsum(use) - 1
             w = fit_linear(renamed[row[use[row]]], feature[use[row]], int(use.sum()), scale, earlier[use], target[use])
             z = np.bincount(row, w[feature], n) + earlier @ w[width:-1] + w[-1]
-            out_of_fold[held] = z[held]
+            out_of_fold[held] = sigmoid(z[held])
         chain.weights.append(fit_linear(row, feature, n, scale, earlier, target))
-        earlier = np.column_stack([earlier, np.clip(out_of_fold, -10, 10)])
+        earlier = np.column_stack([earlier, out_of_fold])
     return chain
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Chain:
     """Fit on at most about sample_rows labelled documents, chosen by the hash of their doc_id."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("_y"))
-    some = F.broadcast(sample_by_hash(known, "doc_id", sample_rows))
+    some = F.broadcast(sample_by_hash(known, sample_rows))
     rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(some, "doc_id").select("doc_id", "text", F.col("_y").cast("bigint").alias("y"))
 
     def fit(table: pa.Table) -> tuple:
@@ -220,6 +234,6 @@ def scored(docs: DataFrame, chain: Chain, keep: list[str], threshold: float = TH
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, p_insult, p_contempt, p_toxic and is_toxic of every document."""
+    """doc_id, p_kind_1, p_kind_2, p_toxic and is_toxic of every document."""
     chain = train(docs, labels, sample_rows)
     return scored(docs, chain, ["doc_id", "text"], threshold).drop("text")

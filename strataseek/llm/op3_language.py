@@ -30,6 +30,8 @@ ROUNDS = 3
 UNKNOWN, UNSEEN = 1e-6, 1e-7
 #: Words held with their scores in each worker at most; beyond it a word is scored again, to the same result.
 HELD_WORDS = 300_000
+#: Characters of a word that are fitted together; longer words are fitted in windows, so that no probability underflows. Scoring takes words whole.
+WINDOW = 63
 START = "▁"
 
 
@@ -131,13 +133,9 @@ def forward(edges: list, size: np.ndarray, width: int, p: np.ndarray) -> tuple[n
 
 
 def expected_counts(trie: Trie, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """How often each piece is used by each language, over all segmentations, weighted by their probabilities."""
+    """How often each piece is used by each language, over all segmentations, weighted by their probabilities. No word may exceed WINDOW characters."""
     out = np.zeros_like(p)
     for part, size, m in groups(words):
-        short = size <= 64  # a longer word says little, and its alpha is scaled
-        part, size, m = part[short], size[short], m[short]
-        if not len(part):
-            continue
         edges = lattice(trie, size, m)
         a, _, _ = forward(edges, size, m.shape[1], p)
         b = np.zeros_like(a)
@@ -179,7 +177,13 @@ def fit(texts: list[str], langs: list[str], pieces: list[str], rounds: int = ROU
     np.add.at(counts, (codes, lang), 1)
     p = np.full((len(pieces) + 1, len(names)), 1 / (len(pieces) + 1))
     p[-1] = UNKNOWN
-    text = words.to_pylist()
+    # a word of more than WINDOW characters, as a sentence in a script without spaces, is counted window by window
+    text, of = [], []
+    for k, word in enumerate(words.to_pylist()):
+        for s in range(0, max(1, len(word)), WINDOW):
+            text.append(word[s : s + WINDOW])
+            of.append(k)
+    counts = counts[np.array(of, np.int64)] if of else counts
     for _ in range(rounds):
         c = expected_counts(trie, text, counts, p)
         c[-1] = 0
@@ -198,7 +202,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, model: str | None = N
         found = fit(table["text"].to_pylist(), table["lang"].to_pylist(), pieces, rounds)
         return found.names, found.p
 
-    names, p = fitted(sample_by_hash(known, "doc_id", sample_rows), fit_rows)
+    names, p = fitted(sample_by_hash(known, sample_rows), fit_rows)
     return Languages(names, Trie.of(pieces), p)
 
 

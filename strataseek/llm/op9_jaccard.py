@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataseek.llm.common import coded_words, hashes_of, mixed, plain_strings, ragged, slices, written
+from strataseek.llm.common import coded_words, hashes_of, mixed, plain_strings, ragged, slices, whole_groups, written
 
 N = 3
 THRESHOLD = 0.5
@@ -143,25 +143,6 @@ def tile_candidates(tile: np.ndarray, size: np.ndarray, band: np.ndarray, side:
         s = e
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """Sorted batches, cut so that the rows of one value of column are never apart."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        v = b.column(column).to_numpy()
-        cut = int(np.searchsorted(v, v[-1]))
-        if cut == 0 and held and held[-1].column(column)[-1].as_py() != v[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        elif cut:
-            yield pa.Table.from_batches([*held, b.slice(0, cut)])
-            held = []
-        held.append(b.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def entries_of(sig: DataFrame) -> DataFrame:
     """eid, words, head (the smallest doc_id with these words), copies (doc_ids with them), n_rows (rows of the head), n_grams, keys, bits: one row for each text. Written, so that eid stays."""
     some = sig.where("words IS NOT NULL")
