@@ -1,7 +1,7 @@
 """Best-fit packing after Martello-Toth dominance reduction.
 
-Documents become items: a token estimate (words plus one for the end of the document), cut into whole sequences of the capacity and
-a rest where it is longer. An item's identity doesn't matter for packing, only its size, so the instance is the histogram of
+Documents become items: their tokens under a public tokenizer and one for the end of the document, cut into whole sequences of the capacity and
+a rest where it is longer (part p holds the tokens from p times the capacity on). An item's identity doesn't matter for packing, only its size, so the instance is the histogram of
 sizes, which has at most capacity entries however many documents there are; it is packed on the driver and
 the plan, whose length follows the capacity too, is applied to the documents in Spark by their rank within a size.
 
@@ -11,12 +11,13 @@ with an item that fills the sequence exactly; and, where at most two more fit, w
 pair that fits, or with that and the largest that fits beside both, if every pair that fits is dominated. What no rule
 settles is set aside and packed best-fit decreasing, with what the fixed sets leave.
 
-Defined results: null and empty texts are items of size 1; rows with the same doc_id and part are different items; ties between documents of one size
+The tokenizer's file is a parameter; special tokens' strings are ordinary text. Defined results: null and empty texts are items of size 1, as is their one row in the pipeline's last stage; rows with the same doc_id and part are different items; ties between documents of one size
 go by doc_id, nulls first. An empty table gives no rows. Only doc_id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataseek.llm.common import written
+from strataseek.llm.common import slices, written
 
 CAPACITY = 2_048
-#: Ranks within a size are taken in so many parts of the doc_id range, so that a size with very many documents is no single task's work.
-SALTS = 16
+#: Ranks within a size are taken in parts of about so many items by their hash, so that a size with very many documents is no single task's work.
+PART_ROWS = 1 << 20
 
 
 class Histogram:
@@ -203,37 +204,62 @@ class Slots:
         return self.sequence[at] + rank - self.rank[at], self.offset[at], self.fixed[at]
 
 
-def items(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, part, n_tokens: a document's words and one for its end, in parts of at most the capacity."""
-    words = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), r"\s+", -1), lambda w: w != ""))
-    d = docs.select("doc_id", (words + 1).alias("_n"))
-    d = d.select("doc_id", "_n", F.explode(F.sequence(F.lit(0), F.expr(f"cast((_n - 1) div {capacity} as int)"))).alias("part"))
-    return d.select("doc_id", "part", F.least(F.lit(capacity), F.col("_n") - F.col("part") * capacity).alias("n_tokens"))
+def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n: a document's tokens and one for its end. path: a file of ranks, as op10 takes it; here the library that owns the format counts, as only counts are asked for."""
+    import public_tokenizers
 
+    file, pattern = path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(file, "rb") as f:
+        held = docs.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary, whatever the data
 
-def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in held.value.split(b"\n") if line.strip())}
+        tokenizer = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for batch in batches:
+            for part in slices(batch, "text"):
+                n = [len(tokenizer.encode_ordinary(t)) + 1 if t else 1 for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint")
+
+
+def items(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+    """doc_id, part, n_tokens: a document's tokens and one for its end, in parts of at most the capacity."""
+    d = token_counts(docs, path).select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {capacity} as int)"))).alias("part"))
+    return d.select("doc_id", "part", F.least(F.lit(capacity), F.col("n") - F.col("part") * capacity).cast("int").alias("n_tokens"))
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """doc_id, part, n_tokens, sequence, offset, fixed for each item: its sequence, its place there, and whether the reduction settled it."""
     spark = docs.sparkSession
-    sized = written(items(docs, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS)).cast("int")), "pack-items")
-    cells = sized.groupBy("n_tokens", "salt").count().collect()  # capacity times SALTS rows at most, whatever the data
-    counts: dict[int, int] = {}
-    first: dict[tuple[int, int], int] = {}
-    for n, salt, c in sorted(tuple(r) for r in cells):
-        first[n, salt] = counts.get(n, 0)
-        counts[n] = counts.get(n, 0) + c
-    before = np.zeros((capacity + 1) * SALTS, np.int64)
-    for (n, salt), v in first.items():
-        before[n * SALTS + salt] = v
-    held = spark.sparkContext.broadcast((before, Slots.of(plan(counts, capacity))))
+    sized = written(items(docs, capacity, path), "pack-items")
+    counts = {n: c for n, c in sized.groupBy("n_tokens").count().collect()}  # capacity rows at most, whatever the data
+    salts = {n: -(-c // part_rows) for n, c in counts.items()}
+    by_size = F.create_map(*[F.lit(x) for n, k in sorted(salts.items()) if k > 1 for x in (n, k)]) if any(k > 1 for k in salts.values()) else None
+    salt = F.lit(0) if by_size is None else F.pmod(F.xxhash64("doc_id", "part"), F.coalesce(F.try_element_at(by_size, F.col("n_tokens")), F.lit(1))).cast("int")
+    sized = sized.withColumn("salt", salt)
+    # sizes, and one row more for each part_rows items of a size
+    first: dict[tuple[int, int], int] = {(n, 0): 0 for n in counts}
+    if by_size is not None:
+        taken: dict[int, int] = {}
+        for n, k, c in sorted(tuple(r) for r in sized.groupBy("n_tokens", "salt").count().collect()):
+            first[n, k] = taken.get(n, 0)
+            taken[n] = taken.get(n, 0) + c
+    width = max(salts.values(), default=1)
+    keys = np.array(sorted(n * width + k for n, k in first), np.int64)
+    before = np.array([first[divmod(x, width)] for x in keys.tolist()], np.int64)
+    held = spark.sparkContext.broadcast((keys, before, Slots.of(plan(counts, capacity))))
     ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy("doc_id", "part")) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, slots = held.value
+        keys, before, slots = held.value
         for b in batches:
             if not b.num_rows:
                 continue
             size, salt, rank = (b.column(x).to_numpy().astype(np.int64) for x in ("n_tokens", "salt", "rank"))
-            sequence, offset, fixed = slots.find(size, rank + before[size * SALTS + salt])
+            sequence, offset, fixed = slots.find(size, rank + before[np.searchsorted(keys, size * width + salt)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), b.column("n_tokens"), pa.array(sequence), pa.array(offset), pa.array(fixed)], names=["doc_id", "part", "n_tokens", "sequence", "offset", "fixed"])
 
     return ranked.mapInArrow(run, "doc_id bigint, part int, n_tokens int, sequence bigint, offset bigint, fixed boolean")
