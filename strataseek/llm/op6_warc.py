@@ -6,7 +6,9 @@ has to hold a whole record and a reader can verify as far as it has come. The fi
 inflates, frames and emits in blocks of chunk_bytes, holding one block at a time.
 
 Defined results: a record with an empty payload has one chunk of length 0; a page with a null html gives none; a record without an ID gets
-one from its file and number; repeated records repeat with equal IDs; a truncated last record is emitted with complete false on its last chunk.
+one from its file and number; repeated records repeat with equal IDs; a truncated last record is emitted with complete false on its last chunk. A length that
+is no number, or below 0, gives one empty chunk with complete false, and reading goes on at the next line that begins a record; none at all is 0. Of a header
+line above LINE_BYTES the rest is passed over. Zero bytes between compressed members are skipped; at bytes that are no member, or a broken one, the file ends.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ CHUNK_BYTES = 1 << 16
 SCHEMA = "record_id string, chunk_no int, chunk_offset bigint, chunk_length int, payload binary, digest string, is_last boolean"
 #: A batch of chunk rows is handed on at so many payload bytes.
 BATCH_BYTES = 8 << 20
+#: A header line's bytes, at most; what is longer is no header that WARC knows.
+LINE_BYTES = 1 << 20
 
 
 def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], payload: int) -> Iterator[pa.RecordBatch]:
@@ -93,20 +97,31 @@ class _Stream:
                 self.ended = True
                 return False
             if self.inflate.eof:
+                data = data.lstrip(b"\0")  # padding between members
+                if not data:
+                    continue
                 self.inflate = zlib.decompressobj(31)
-            out = self.inflate.decompress(data, self.block)
+            try:
+                out = self.inflate.decompress(data, self.block)
+            except zlib.error:  # no member, or a broken one: what was inflated stands
+                self.ended = True
+                return False
             self.pending = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
             if out:
                 self.left += out
                 return True
 
     def line(self) -> bytes | None:
+        """The next line, of a line of more than LINE_BYTES its first LINE_BYTES; the rest of that is passed over, block by block."""
+        head, skipped = b"", False
         while (at := self.left.find(b"\n")) < 0:
+            if len(self.left) >= LINE_BYTES or skipped:
+                head, skipped, self.left = head or self.left[:LINE_BYTES], True, b""
             if not self._more():
-                out, self.left = self.left, b""
+                out, self.left = head or self.left, b""
                 return out or None
-        out, self.left = self.left[: at + 1], self.left[at + 1 :]
-        return out
+        out, self.left = head or self.left[: at + 1], self.left[at + 1 :]
+        return out[:LINE_BYTES]
 
     def some(self, most: int) -> bytes:
         """Exactly most bytes, fewer only at the end."""
@@ -129,7 +144,9 @@ def records(raw: BinaryIO, name: str, chunk_bytes: int = CHUNK_BYTES) -> Iterato
         while (line := stream.line()) is not None and line.strip():
             k, _, v = line.decode("utf-8", "replace").partition(":")
             head[k.strip().lower()] = v.strip()
-        length = int(head.get("content-length") or 0)
+        given = (head.get("content-length") or "0").strip()
+        known = given.isascii() and given.isdigit()
+        length = int(given) if known else 0
         record = head.get("warc-record-id") or f"<{name}#{number}>"
         number += 1
         digest, done, k = hashlib.sha256(), 0, 0
@@ -138,7 +155,7 @@ def records(raw: BinaryIO, name: str, chunk_bytes: int = CHUNK_BYTES) -> Iterato
             short = len(part) < min(chunk_bytes, length - done)
             digest.update(part)
             last = short or done + len(part) >= length
-            yield record, head.get("warc-type"), head.get("warc-target-uri"), k, done, len(part), part, digest.copy().hexdigest(), last, not short
+            yield record, head.get("warc-type"), head.get("warc-target-uri"), k, done, len(part), part, digest.copy().hexdigest(), last, known and not short
             done, k = done + len(part), k + 1
             if last:
                 break
