@@ -251,8 +251,8 @@ class Encoder:
         self.held = pa.array([], pa.large_binary())
         self.tokens, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, bool]:
-        """(tokens of all texts, how many each has, whether decoding gives the texts back)."""
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens of all texts, how many each has, whether decoding gives each text back)."""
         per_text, words = words_of(texts, self.table)
         coded = words.dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -273,7 +273,10 @@ class Encoder:
         tokens = self.tokens[ragged(self.starts[word], sizes)]
         ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(per_text)))]
         buffers = words.buffers()
-        return tokens, np.diff(ends), self.bpe.decode(tokens) == (buffers[2].to_pybytes() if len(words) else b"")
+        same = np.ones(len(texts), bool)
+        if self.bpe.decode(tokens) != (buffers[2].to_pybytes() if len(words) else b""):
+            same = np.array([self.bpe.decode(tokens[s:e]) == x.as_py().encode() for s, e, x in zip(ends[:-1], ends[1:], texts)], bool)
+        return tokens, np.diff(ends), same
 
 
 @functools.cache
@@ -300,7 +303,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 tokens, sizes, ok = encoder(pc.fill_null(texts, ""))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(tokens, pa.int32()))
                 none = pa.scalar(None, lists.type)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pc.if_else(null, pa.scalar(None, pa.int32()), pa.array(sizes, pa.int32())), pc.if_else(null, none, lists) if null.true_count else lists, pc.if_else(null, pa.scalar(None, pa.bool_()), pa.scalar(ok))], names=["doc_id", "n_tokens", "tokens", "round_trip"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pc.if_else(null, pa.scalar(None, pa.int32()), pa.array(sizes, pa.int32())), pc.if_else(null, none, lists) if null.true_count else lists, pc.if_else(null, pa.scalar(None, pa.bool_()), pa.array(ok))], names=["doc_id", "n_tokens", "tokens", "round_trip"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens int, tokens array<int>, round_trip boolean")
 
