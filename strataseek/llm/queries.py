@@ -21,7 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": lambda spark, d: op5_packing.pack(_table(spark, d, "documents")),
     "op6_warc_chunks": lambda spark, d: op6_warc.page_chunks(_table(spark, d, "pages")),
     "op7_secret_ownership": lambda spark, d: op7_secrets.secret_scan(_table(spark, d, "documents")),
-    "op8_block_neighbours": lambda spark, d: op8_neighbours.neighbours(_table(spark, d, "embeddings")),
+    "op8_block_neighbours": lambda spark, d: op8_neighbours.neighbours(_table(spark, d, "embeddings"), every=op8_neighbours.EVERY),
     "op9_jaccard_join": lambda spark, d: op9_jaccard.jaccard_join(_table(spark, d, "documents")),
     "op10_bpe_encode": lambda spark, d: op10_bpe.encode(_table(spark, d, "documents")),
 }

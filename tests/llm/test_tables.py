@@ -2,8 +2,10 @@
 
 import gzip
 import hashlib
+import io
 import itertools
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataseek.llm import op1_merkle, op2_toxicity, op3_language, op5_packing, op6_warc, op7_secrets, op8_neighbours, op9_jaccard
+from strataseek.llm.common import sample_by_hash
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 TOKEN = "9f3c47be21d05a86e1f7"
@@ -203,6 +206,40 @@ def test_warc_files(spark, tmp_path, packed):
         assert cut[-1]["is_last"] and not cut[-1]["complete"] and sum(r["chunk_length"] for r in cut) < 5000
 
 
+def chunks_of(data, chunk=1024):
+    return [(r[0], r[3], bytes(r[6]), r[8], r[9]) for r in op6_warc.records(io.BytesIO(data), "f", chunk)]
+
+
+def test_warc_that_is_malformed():
+    one = lambda length, body, name="n": f"WARC/1.1\r\nWARC-Record-ID: {name}\r\nContent-Length: {length}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    good = one(3, b"abc", "good")
+    for length in ("x", "-5", "3.0", "\u0663", "1e3"):
+        assert chunks_of(one(length, b"abc") + good) == [("n", 0, b"", True, False), ("good", 0, b"abc", True, True)]
+    padded = gzip.compress(good) + bytes(700) + gzip.compress(good) + bytes(5_000)
+    assert chunks_of(padded) == [("good", 0, b"abc", True, True)] * 2
+    assert chunks_of(gzip.compress(good) + b"no member") == [("good", 0, b"abc", True, True)]
+    broken = bytearray(gzip.compress(one(50_000, random.Random(1).randbytes(50_000)) + good))
+    broken[20_000:20_040] = bytes(40)
+    assert chunks_of(bytes(broken))[-1][4] in (True, False)
+    endless = b"WARC/1.1\r\nWARC-Record-ID: n\r\nX: " + b"y" * 5_000_000 + b"\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n" + good
+    assert chunks_of(endless) == [("n", 0, b"hi", True, True), ("good", 0, b"abc", True, True)]
+    assert chunks_of(b"z" * 3_000_000) == [] == chunks_of(b"")
+
+
+def test_warc_reader_holds_a_block_at_a_time(tmp_path):
+    size = 64 << 20
+    with open(tmp_path / "t.warc.gz", "wb") as f, gzip.open(f, "wb") as z:
+        z.write(f"WARC/1.1\r\nWARC-Record-ID: n\r\nContent-Length: {size}\r\n\r\n".encode())
+        for _ in range(size >> 20):
+            z.write(bytes(1 << 20))
+    tracemalloc.start()
+    with open(tmp_path / "t.warc.gz", "rb") as f:
+        n = sum(r[5] for r in op6_warc.records(f, "f"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == size and peak < 2 << 20
+
+
 # op 7
 
 
@@ -248,35 +285,54 @@ def test_redaction(spark, odd):
     assert by[6]["text"] == "word " * 60_000
 
 
+def test_secrets_of_rows_without_an_id(spark):
+    rows = [(None, f"api_key: {TOKEN} a", "en", "solo/r"), (None, f"api_key: {TOKEN} b", "en", "solo/r"), (-1, f"api_key: {TOKEN} c", "en", "solo/r"), (5, f"x api_key: {TOKEN}", "en", "solo/q"), (5, "another text", "en", "solo/q")]
+    rows += [(6 + i, "secret: 8Hq2!zzTr91x", "en", f"o{i}/r") for i in range(2)]
+    docs = docs_of(spark, rows)
+    got = op7_secrets.secret_scan(docs).collect()
+    h = hashlib.sha256(TOKEN.encode()).hexdigest()
+    assert {r["n_docs"] for r in got if r["secret_hash"] == h} == {3} and {r["verdict"] for r in got if r["secret_hash"] != h} == {"shared"}
+    out = [r["text"] for r in op7_secrets.redacted(docs).collect()]
+    assert len(out) == len(rows) and sum(op7_secrets.REDACTED in t for t in out) == 6 and not any(TOKEN in t or "8Hq2" in t for t in out)
+
+
 # op 8
 
 
-def brute_neighbours(rows, k):
+def brute_neighbours(rows, k, every=1):
     v = {i: np.array(x, float) / np.linalg.norm(x) for i, x in rows.items()}
-    return {(i, r, j, d) for i in v for r, (d, j) in enumerate(sorted((round(1 - float(np.einsum("i,i->", v[i], v[j])), 9), j) for j in v if j != i)[:k], 1)}
+    near = lambda i: sorted((round(1 - float(np.einsum("i,i->", v[i], v[j])), 9), j) for j in v if j != i and len(v[j]) == len(v[i]))[:k]
+    return {(i, r, j, d) for i in v if i % every == 0 for r, (d, j) in enumerate(near(i), 1)}
 
 
-@pytest.mark.parametrize("n,block", [(150, 20), (7, 100), (40, 1000)])
-def test_neighbours_equal_brute_force(spark, n, block):
+@pytest.mark.parametrize("n,block,every", [(150, 20, 1), (7, 100, 2), (300, 8, 5)])
+def test_neighbours_equal_brute_force(spark, n, block, every):
     rng = np.random.default_rng(n)
     rows = {i: rng.normal(size=5).tolist() for i in range(n)}
-    rows[n], rows[n + 1] = rows[0], rows[0]  # ties
-    bad = [(None, [1.0] * 5), (900, None), (901, []), (902, [0.0] * 5), (903, [1.0, 2.0]), (904, [float("nan")] * 5), (905, [1.0, None, 1.0, 1.0, 1.0]), (0, rows[0])]
-    df = spark.createDataFrame([*rows.items(), *bad], "vec_id bigint, embedding array<double>").selectExpr("*", "1 AS block", "2 AS distance", "3 AS rank")
-    got = {tuple(r) for r in op8_neighbours.neighbours(df, k=4, block=block, side=2).collect()}
-    want = brute_neighbours(rows, 4)
-    assert {x[:3] for x in got} == {x[:3] for x in want}
+    rows[n], rows[n + 1], rows[-20] = rows[0], rows[0], [x * 1e200 for x in rows[1]]  # ties, a negative id, a length that overflows
+    rows |= {1000 + i: rng.normal(size=3).tolist() for i in range(9)}  # another dimension
+    bad = [(None, [1.0] * 5), (900, None), (901, []), (902, [0.0] * 5), (904, [float("nan")] * 5), (905, [1.0, None, 1.0, 1.0, 1.0]), (0, rows[0])]
+    df = spark.createDataFrame([*rows.items(), *bad], "vec_id bigint, embedding array<double>").selectExpr("*", "1 AS block", "2 AS distance", "3 AS rank", "4 AS id", "5 AS dim")
+    got = {tuple(r) for r in op8_neighbours.neighbours(df, k=4, block=block, every=every, side=2).collect()}
+    rows[-20] = [x / 1e200 for x in rows[-20]]
+    assert {x[:3] for x in got} == {x[:3] for x in brute_neighbours(rows, 4, every)}
     assert op8_neighbours.neighbours(df.limit(0)).count() == 0
 
 
 def test_tile_bounds_hold_and_prune():
     rng = np.random.default_rng(8)
     names = [x.split()[0] for x in op8_neighbours.BLOCK_SCHEMA.split(", ")]
-    a, b = (op8_neighbours.Side(dict(zip(names, op8_neighbours._block(np.arange(500) + s, rng.normal(size=(500, 32)), 0))), "") for s in (0, 500))
+    v = [op8_neighbours.unit(rng.normal(size=(500, 32))) for _ in range(2)]
+    a, b = (op8_neighbours.Side(dict(zip(names, op8_neighbours._block(np.arange(500) + 500 * s, v[s], 0))), "") for s in (0, 1))
     near = (a.ints @ b.ints.T) * a.scale[:, None] * b.scale[None, :]
     bound = a.error[:, None] + a.size[:, None] * b.error[None, :]
-    assert (np.abs(near - a.floats @ b.floats.T) <= bound + 1e-6).all()
-    assert op8_neighbours.Heaps(a.ids, 10).tile(a, b) < 0.2 * 500 * 500
+    assert (np.abs(near - v[0] @ v[1].T) <= bound + 1e-6).all()
+    bounds = op8_neighbours.Bounds(a, 10)
+    bounds.tile(b)
+    q, o, _, _ = bounds.left()
+    assert len(q) < 0.2 * 500 * 500
+    best = np.argsort(-(v[0] @ v[1].T), axis=1)[:, :10] + 500
+    assert {(i, j) for i in range(500) for j in best[i].tolist()} <= set(zip(q.tolist(), o.tolist()))
 
 
 # op 9
@@ -411,6 +467,62 @@ def test_components(spark):
     assert op9_jaccard.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+# op 5
+
+
+def n_tokens(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    return len(t.encode(text or "", add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("part_rows", [1, 3, 1 << 20])
+def test_packing_of_tokens(spark, odd, part_rows):
+    got = op5_packing.pack(odd, 300, part_rows=part_rows).collect()
+    sizes = defaultdict(list)
+    for r in got:
+        sizes[r["doc_id"]].append((r["part"], r["n_tokens"]))
+    for d, text in {(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] not in (1, None)}:
+        n = n_tokens(text) + 1
+        assert sorted(sizes[d]) == [(p, min(300, n - 300 * p)) for p in range(-(-n // 300))]
+    places = defaultdict(list)
+    for r in got:
+        places[r["sequence"]].append((r["offset"], r["n_tokens"]))
+    for rows in places.values():  # end to end, without gap or overlap, and no more than fits
+        assert [o for o, _ in sorted(rows)] == [sum(n for _, n in sorted(rows)[:i]) for i in range(len(rows))] and sum(n for _, n in rows) <= 300
+    plan = op5_packing.plan(Counter(r["n_tokens"] for r in got), 300)
+    assert sorted(places) == list(range(sum(k for _, k, _ in plan.groups)))
+    assert op5_packing.pack(odd.limit(0)).count() == 0
+
+
+# samples
+
+
+def test_a_sample_is_never_empty_and_never_one_repeated_row(spark):
+    rows = spark.range(2_000).selectExpr("id AS doc_id", "'en' AS lang")
+    assert 0 < sample_by_hash(rows, 100).count() < 200
+    assert sample_by_hash(rows, 100, total=40_000).count() < 30
+    some = sample_by_hash(rows, 2**40, total=2**41).count()  # a table too large for a share of a million
+    assert 800 < some < 1_200
+    assert sample_by_hash(rows.limit(0), 100).count() == 0
+    hot = rows.unionByName(rows.limit(1).withColumn("doc_id", F.explode(F.array_repeat(F.lit(5).cast("bigint"), 3_000))))
+    got = sample_by_hash(hot, 2_500).collect()
+    assert len(got) == len(set(got)) < 1_200
+    # 5e10 rows and 2,000 asked for: a share of 4e-8, whose bound must not be 0
+    assert "<" in str(sample_by_hash(rows, 2_000, total=5 * 10**10)._jdf.queryExecution().toString()) and (2_000 << 64) // (5 * 10**10) > 2**39
+
+
+def test_no_declared_language_keeps_all(spark, odd):
+    import corpus_pipeline
+
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = Counter(r["doc_id"] for r in corpus_pipeline.language(spark, bare, "").collect())
+    assert kept == Counter(r["doc_id"] for r in odd.collect() if r["text"] and any(c.isalpha() for c in r["text"]))
+
+
 # the pipeline, stage by stage against what its operators' models say
 
 
@@ -447,7 +559,7 @@ def test_pipeline(spark, tmp_path):
     assert ids[2] == {x for x in ids[1] if groups.get(x, x) == x}
     assert 201 not in ids[2] and 1 in ids[2]
     assert ids[3] == ids[2] and TOKEN not in next(r["text"] for r in kept[3] if r["doc_id"] == 300)
-    want = Counter(len(r["text"].split()) + 1 for r in kept[3])
+    want = Counter(n_tokens(r["text"]) + 1 for r in kept[3])
     assert Counter(r["n_tokens"] for r in kept[4]) == want
     plan = op5_packing.plan(dict(want), op5_packing.CAPACITY)
     assert len({r["sequence"] for r in kept[4]}) == sum(k for _, k, _ in plan.groups)
