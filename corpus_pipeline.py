@@ -28,7 +28,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter go, and those that are plainly not in the language they declare: another explains them better, none of the
     sample does, or one does though they declare a language that the sample lacks. A null language is no claim and stays."""
-    found = op3_language.scored(docs, op3_language.train(docs), COLUMNS)
+    model = op3_language.train(docs)
+    if not model.names:  # no document declares a language, so there is nothing to hold any against
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    found = op3_language.scored(docs, model, COLUMNS)
     much = lambda rate: rate * F.col("n_plain") > EVIDENCE
     other = (F.col("behind") < -BEHIND) & much(-F.col("behind"))
     none = much(NONE - F.col("plain"))
@@ -50,13 +53,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, part, n_tokens, sequence, offset, fixed of each document's parts in training sequences."""
+    """doc_id, part, n_tokens, sequence, offset, fixed of each document's parts in training sequences; a null or empty text is one part of one token."""
     return op5_packing.pack(docs)
 
 
 STAGES = [("toxicity", toxicity), ("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("packing", packing)]
 
-#: Classifiers, connected groups and packing are beyond SQL; tests/llm/test_pipeline.py has the brute-force version.
+#: Classifiers, connected groups and packing are beyond SQL; tests/llm/test_tables.py has the brute-force version.
 ORACLE_SQL = None
 
 
