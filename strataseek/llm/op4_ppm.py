@@ -9,8 +9,8 @@ it never predicts itself. With fixed counts the cost of a byte depends on it and
 (k+1)-gram of the corpus is therefore priced once, in Spark, and a document's code length is the sum of its grams' prices.
 Pricing needs, beside a gram, only grams with the same last bytes, so it runs in one task for each pair of last context bytes, over the orders from 2 up;
 the orders below are small tables of at most 256^2 rows. Grams are gathered by partial sums from whole partitions.
-The price table grows with the corpus's distinct grams. Its rows are counted first, and it is broadcast in as many shards as max_rows asks for; documents
-are read once for each shard and their partial sums are added, so no size drops a case.
+The price table grows with the corpus's distinct grams. Its rows are counted; up to MAX_ROWS it is broadcast (128 MB). A larger one is joined: documents go in slices, each
+slice asks once for each of its distinct grams, and is coded with the answers. Documents are read once, whatever the size, and both ways give the same.
 
 Adaptive: the trie starts empty for each document and learns as it reads (PpmTrie), for texts that no corpus describes.
 
@@ -21,6 +21,7 @@ equal results; a null doc_id counts as the value that hashes to its half. Only d
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataseek.llm.common import ragged, slices, written
+from strataseek.llm.common import ragged, slices, whole_groups, written
 
 ORDER = 4
-#: Rows of the price table in one broadcast, 16 bytes each.
-MAX_ROWS = 8_000_000
+#: Rows of a price table that is broadcast, 16 bytes each; a larger one is joined. Bytes of text that are then coded together.
+MAX_ROWS, SLICE = 8_000_000, 32 << 20
 
 
 def half_of(key: str):
@@ -263,52 +264,72 @@ class Prices:
         return np.where(dead, np.float32(0), self.at[node, half])
 
 
-def code_lengths(docs: DataFrame, order: int = ORDER, max_rows: int = MAX_ROWS) -> DataFrame:
+def code_lengths(docs: DataFrame, order: int = ORDER, max_rows: int = MAX_ROWS, slice_bytes: int = SLICE) -> DataFrame:
     """doc_id, n_bytes, bits, bits_per_byte of every document, by the counts of the other half of all documents."""
-    spark = docs.sparkSession
     counts = written(corpus_counts(docs, order), "ppm-counts")
     table = written(price_table(counts, order), "ppm-prices")
-    shards = max(1, -(-table.count() // max_rows))
     given = docs.select("doc_id", half_of("doc_id").alias("half"), "text")
-    parts = []
-    for shard in range(shards):
-        t = table.where(F.pmod(F.xxhash64("gram"), F.lit(shards)) == shard).toArrow()
-        held = spark.sparkContext.broadcast((t["gram"].to_numpy().view(np.uint64), t["bits0"].to_numpy(), t["bits1"].to_numpy()))
-        parts.append(given.mapInArrow(_coder(held, order, shards > 1), "doc_id bigint, n_bytes bigint, bits double, row bigint" if shards > 1 else "doc_id bigint, n_bytes bigint, bits double"))
-    if shards == 1:
-        out = parts[0]
-    else:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        # repeated rows give repeated partial sums, a row for each of them in each shard
-        out = out.groupBy("doc_id", "n_bytes", "row").agg((F.sum("bits") * F.lit(shards) / F.count(F.lit(1))).alias("bits"), (F.count(F.lit(1)) / F.lit(shards)).cast("int").alias("_n"))
-        out = out.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select("doc_id", "n_bytes", "bits")
+    out = _by_broadcast(given, table, order) if table.count() <= max_rows else _by_slices(given, table, order, slice_bytes)
     return out.select("doc_id", "n_bytes", F.round("bits", 3).alias("bits"), F.when(F.col("n_bytes") > 0, F.round(F.col("bits") / F.col("n_bytes"), 6)).alias("bits_per_byte"))
 
 
-def _coder(held, order: int, rows: bool):
-    """The function of one shard. row: a hash of the text, which tells rows with the same doc_id apart when sums are added."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+CODED = "doc_id bigint, n_bytes bigint, bits double"
+
+
+def _coded(rows: pa.RecordBatch, table: Prices, order: int) -> pa.RecordBatch:
+    """CODED for rows with doc_id, half, text."""
+    g, sizes = grams(rows.column("text"), order)
+    price = table.of(g, np.repeat(rows.column("half").to_numpy().astype(np.int8), sizes))
+    sums = np.concatenate(([0.0], np.cumsum(price, dtype=np.float64)))
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    return pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(sums[ends[1:]] - sums[ends[:-1]])], names=["doc_id", "n_bytes", "bits"])
 
-        gram, *bits = held.value
-        table = Prices(gram, *bits)
+
+def _by_broadcast(given: DataFrame, table: DataFrame, order: int) -> DataFrame:
+    """A price table of at most max_rows rows, which was counted, goes to every task."""
+    t = table.toArrow()
+    held = given.sparkSession.sparkContext.broadcast((t["gram"].to_numpy().view(np.uint64), t["bits0"].to_numpy(), t["bits1"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prices_ = Prices(*held.value)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                half = part.column("half").to_numpy()
-                g, sizes = grams(part.column("text"), order)
-                price = table.of(g, np.repeat(half.astype(np.int8), sizes))
-                sums = np.concatenate(([0.0], np.cumsum(price, dtype=np.float64)))
-                ends = np.concatenate(([0], np.cumsum(sizes)))
-                columns = [part.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(sums[ends[1:]] - sums[ends[:-1]])]
-                names = ["doc_id", "n_bytes", "bits"]
-                if rows:
-                    columns.append(pa.array([xxhash.xxh3_64_intdigest(x or "") >> 1 for x in part.column("text").to_pylist()], pa.int64()))
-                    names.append("row")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return run
+                yield _coded(part, prices_, order)
+
+    return given.mapInArrow(run, CODED)
+
+
+def _by_slices(given: DataFrame, table: DataFrame, order: int, slice_bytes: int) -> DataFrame:
+    """Documents in slices of about slice_bytes: each slice asks once for each of its distinct grams, one join answers all slices, and a slice is coded with its answers alone."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, size = uuid.uuid4().int & (2**63 - 1), 0
+        for batch in batches:
+            for part in slices(batch, "text", slice_bytes):
+                n = int(pc.sum(pc.fill_null(pc.binary_length(part.column("text")), 0)).as_py() or 0)
+                if size and size + n > slice_bytes:
+                    now, size = uuid.uuid4().int & (2**63 - 1), 0
+                size += n
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, now))], names=[*part.schema.names, "slice"])
+
+    cuts = written(given.mapInArrow(cut, "doc_id bigint, half int, text string, slice bigint"), "ppm-slices")  # a slice's number stays, since it is written
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "slice"):  # a file has a slice's rows together; a slice that two tasks read asks twice
+            numbers = t["slice"].to_numpy()
+            for number in np.unique(numbers):
+                texts = t["text"].filter(pa.array(numbers == number)).combine_chunks()
+                g = np.unique(grams(texts, order)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), number)), pa.array(g.view(np.int64))], names=["slice", "gram"])
+
+    answers = cuts.select("slice", "text").mapInArrow(ask, "slice bigint, gram bigint").dropDuplicates().join(table, "gram")
+
+    def code(rows: pa.Table, answer: pa.Table) -> pa.Table:
+        prices_ = Prices(answer["gram"].to_numpy().view(np.uint64), answer["bits0"].to_numpy(), answer["bits1"].to_numpy())
+        parts = [_coded(p, prices_, order) for b in rows.combine_chunks().to_batches() for p in slices(b, "text", 1 << 20)]
+        return pa.Table.from_batches(parts)
+
+    return cuts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(code, CODED)
 
 
 class PpmTrie:
