@@ -135,8 +135,12 @@ def chunk_documents(docs: DataFrame, key: str, target_chars: int, overlap: int =
     return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, index int, content string, start_pos int, end_pos int")
 
 
+#: What str.strip takes for white space, as a class of Java's patterns, whose own leaves out no-break spaces and separators.
+WHITE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
 def _bare(line: Column) -> Column:
-    return F.regexp_replace(line, r"^\s+|\s+$", "")
+    return F.regexp_replace(line, rf"^{WHITE}+|{WHITE}+$", "")
 
 
 def lines(docs: DataFrame, key: str) -> DataFrame:
@@ -152,7 +156,7 @@ def break_points(docs: DataFrame, key: str) -> DataFrame:
     score = F.when((bare == "") & later, BLANK_SCORE).when(bare.startswith("```"), FENCE_SCORE).when(bare.isin(*RULES), RULE_SCORE)
     for level, s in HEADING_SCORE.items():
         score = score.when(line.startswith("#" * level + " "), s)
-    score = score.when(bare.rlike(r"^(\d+\.\s|[-*]\s)"), LIST_SCORE).when(later, LINE_SCORE)
+    score = score.when(bare.rlike(rf"^(\p{{Nd}}+\.{WHITE}|[-*]{WHITE})"), LIST_SCORE).when(later, LINE_SCORE)
     return lines(docs, key).select(key, "position", score.alias("score")).where("score IS NOT NULL")
 
 

@@ -1,8 +1,8 @@
 """Lexical retrieval: postings, BM25, prefix and fuzzy terms, merging of several queries.
 
-Blocks are DataFrames with path, block_id and content. The inverted index is three tables: postings (term, path, block_id, tf), lengths
-(path, block_id, len) and stats (one row: blocks, avg_len). A search joins postings with the query's few terms, so at scale postings should be
-stored sorted by term, for row groups to be skipped.
+Blocks are DataFrames with path, block_id and content. The stored inverted index is postings (term, path, block_id, tf, len), dfs (term, df) and stats (one row: blocks,
+avg_len); a search joins postings with the query's few terms, so at scale postings are stored sorted by term, for row groups to be skipped. Where nothing
+is stored, a search of plain terms counts them inside each block's row: the corpus is tokenised once, and what moves is a row of counts for each block.
 """
 
 from __future__ import annotations
@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataseek.functions.paths import KEY, any_prefix
 from strataseek.functions.text import Analyzer
-from strataseek.operators.fusion import DECIMALS, top_k
+from strataseek.operators.fusion import DECIMALS, rank_decay, ranked, top_k
 
 DEFAULT_DEPTH = 100
 K1, B = 1.2, 0.75
@@ -23,25 +23,27 @@ K1, B = 1.2, 0.75
 
 @dataclass
 class FullTextTables:
-    """blocks: path, block_id, content, ...; postings: term, path, block_id, tf, len."""
+    """blocks: path, block_id, content, ...; postings: term, path, block_id, tf, len; dfs: term, df. stored: whether the tables are read, not computed from blocks."""
 
     blocks: DataFrame
     postings: DataFrame
     stats: DataFrame
+    dfs: DataFrame
+    stored: bool = False
 
 
 def build_postings(blocks: DataFrame, analyzer: Analyzer = Analyzer()) -> DataFrame:
     """term, path, block_id, tf, len for each distinct token of each block; len is the block's number of tokens.
 
-    Tokens are counted inside the row, so nothing moves between tasks.
+    Tokens are sorted and counted inside the row, so nothing moves between tasks: a run of equal tokens begins where one differs from the one before,
+    and its length is the distance to where the next begins.
     """
-    t = blocks.select(*KEY, analyzer.column(F.col("content")).alias("_t")).where(F.size("_t") > 0)
-    sorted_tokens = t.select(*KEY, F.size("_t").alias("len"), F.array_sort("_t").alias("_s"))
-    term = F.explode(F.array_distinct("_s")).alias("term")
-    e = sorted_tokens.select(*KEY, "len", "_s", term)
-    # in the sorted tokens a term's occurrences are one run: its count is the distance of its ends
-    counted = F.size(F.filter("_s", lambda x: x == F.col("term")))
-    return e.select("term", *KEY, counted.alias("tf"), "len")
+    t = blocks.select(*KEY, F.array_sort(analyzer.column(F.col("content"))).alias("_s")).where(F.size("_s") > 0)
+    first = F.filter(F.sequence(F.lit(1), F.size("_s")), lambda i: (i == 1) | (F.element_at("_s", i) != F.element_at("_s", F.greatest(i - 1, F.lit(1)))))
+    t = t.withColumn("_i", first)
+    ends = F.concat(F.slice("_i", F.lit(2), F.size("_i")), F.array(F.size("_s") + 1))
+    e = t.select(*KEY, F.size("_s").alias("len"), F.explode(F.zip_with("_i", ends, lambda i, e: F.struct(F.element_at("_s", i).alias("term"), (e - i).alias("tf")))).alias("_p"))
+    return e.select("_p.term", *KEY, "_p.tf", "len")
 
 
 def exploded_postings(blocks: DataFrame, analyzer: Analyzer = Analyzer()) -> DataFrame:
@@ -56,23 +58,64 @@ def corpus_stats(blocks: DataFrame, analyzer: Analyzer = Analyzer()) -> DataFram
     return blocks.select(n.alias("_n")).agg(F.count(F.lit(1)).alias("blocks"), F.avg(F.when(F.col("_n") > 0, F.col("_n"))).alias("avg_len"))
 
 
+def document_frequencies(postings: DataFrame) -> DataFrame:
+    """term, df: postings have one row for each block that has the term."""
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def tables(blocks: DataFrame, analyzer: Analyzer = Analyzer()) -> FullTextTables:
-    return FullTextTables(blocks, exploded_postings(blocks, analyzer), corpus_stats(blocks, analyzer))
+    postings = build_postings(blocks, analyzer)
+    return FullTextTables(blocks, postings, corpus_stats(blocks, analyzer), document_frequencies(postings))
+
+
+def bm25(tf: Column, df: Column, length: Column) -> Column:
+    """A term's part of a block's score; blocks and avg_len are columns."""
+    idf = F.log(1 + (F.col("blocks") - df + 0.5) / (df + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("avg_len")))
 
 
 def term_scores(index: FullTextTables, terms: DataFrame, paths: Iterable[str] | None = None) -> DataFrame:
-    """path, block_id, the other columns of terms, and the BM25 part of each matching term. terms: term and more, a few rows.
+    """path, block_id, the other columns of terms, and the BM25 part of each matching term, from the postings. terms: term and more.
 
-    df and avg_len are the whole index's, whatever the paths.
+    df and avg_len are the whole index's, whatever the paths. What is broadcast is left to Spark, which sees sizes: a short prefix may reach a large part of the vocabulary.
     """
-    hits = index.postings.join(F.broadcast(terms.hint("broadcast")), "term")  # the query's terms
-    df = hits.groupBy("term").agg(F.countDistinct(*KEY).alias("df"))
+    asked = index.dfs.join(terms, "term")
+    keep = any_prefix(F.col("path"), paths)
+    scoped = index.postings if keep is None else index.postings.where(keep)
+    j = scoped.join(asked, "term").crossJoin(F.broadcast(index.stats))  # one row
+    return j.withColumn("part", bm25(F.col("tf"), F.col("df"), F.col("len"))).drop("df", "blocks", "avg_len", "tf", "len")
+
+
+def _equals(term: str):
+    return lambda x: x == F.lit(term)
+
+
+def counted_scores(index: FullTextTables, queries: list[list[str]], paths: Iterable[str] | None = None, analyzer: Analyzer = Analyzer()) -> DataFrame:
+    """path, block_id, scores: an array with the BM25 score of each query (null where none of its terms occurs), of the blocks that any query hits, from the blocks themselves."""
+    terms = list(dict.fromkeys(t for q in queries for t in q))
+    tokens = index.blocks.select(*KEY, analyzer.column(F.col("content")).alias("_t"))
+    asked = F.array(*map(F.lit, terms))
+    mine = F.filter("_t", lambda x: F.array_contains(asked, x))  # most blocks have few of them
+    counts = tokens.select(*KEY, F.size("_t").alias("len"), mine.alias("_m"))
+    counts = counts.select(*KEY, "len", F.array(*[F.size(F.filter("_m", _equals(t))) for t in terms]).alias("_tf"))
+    # one exchange of narrow rows, read by both sides below: both ask for all its columns, so that neither is pruned and it runs once
+    counts = counts.repartition(*KEY)
+    every = F.bit_xor(F.xxhash64(*KEY, "len", "_tf")).alias("_all")
+    stats = counts.agg(F.count(F.lit(1)).alias("blocks"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("avg_len"), F.array(*[F.count_if(F.col("_tf")[i] > 0) for i in range(len(terms))]).alias("_df"), every)
     keep = any_prefix(F.col("path"), paths)
-    scoped = hits if keep is None else hits.where(keep)
-    j = scoped.join(F.broadcast(df), "term").crossJoin(F.broadcast(index.stats))  # as many rows as query terms, and one
-    idf = F.log(1 + (F.col("blocks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return j.withColumn("part", part).drop("df", "blocks", "avg_len", "tf", "len")
+    some = F.exists("_tf", lambda n: n > 0) if keep is None else F.exists("_tf", lambda n: n > 0) & keep
+    # the condition asks for the statistics too, or it would be pushed below the exchange, which then differed from the other side's
+    hits = counts.crossJoin(F.broadcast(stats)).where(F.when(F.col("blocks") > 0, some))  # one row
+    number = {t: i for i, t in enumerate(terms)}
+
+    def score(q: list[str]) -> Column:
+        parts = [(F.col("_tf")[number[t]], F.col("_df")[number[t]]) for t in q]
+        if not parts:
+            return F.lit(None).cast("double")
+        some = sum((tf for tf, _ in parts), F.lit(0)) > 0
+        return F.when(some, sum((F.when(tf > 0, bm25(tf, df, F.col("len"))).otherwise(0.0) for tf, df in parts), F.lit(0.0)))
+
+    return hits.select(*KEY, F.array(*map(score, queries)).alias("scores"))
 
 
 def query_terms(df: DataFrame, queries: list[str], analyzer: Analyzer) -> DataFrame:
@@ -98,23 +141,41 @@ def search(index: FullTextTables, queries: list[str], k: int = DEFAULT_DEPTH, me
 
     depth: if given, each query's hits are cut to so many before they are merged.
     """
-    scores = term_scores(index, query_terms(index.postings, queries, analyzer), paths)
-    per_query = scores.groupBy("query_ord", *KEY).agg(F.sum("part").alias("score"))
+    if merge not in ("sum", "max"):
+        raise ValueError(f"Unknown merge: {merge}")
+    asked = [analyzer.terms(q) for q in queries]
+    if not any(asked):
+        return index.blocks.select(*KEY, F.lit(0.0).alias("score")).limit(0)
+    if not index.stored:
+        scores = counted_scores(index, asked, paths, analyzer)
+        if depth is None:
+            known = F.filter("scores", lambda x: x.isNotNull())
+            one = F.array_max(known) if merge == "max" else F.aggregate(known, F.lit(0.0), lambda a, x: a + x)
+            return top_k(scores.select(*KEY, one.alias("score")), k)
+        per_query = scores.select(*KEY, F.posexplode("scores").alias("query_ord", "score")).where("score IS NOT NULL")
+    else:
+        parts = term_scores(index, query_terms(index.postings, queries, analyzer), paths)
+        if depth is None and merge == "sum":
+            return top_k(parts.groupBy(*KEY).agg(F.sum("part").alias("score")), k)
+        per_query = parts.groupBy("query_ord", *KEY).agg(F.sum("part").alias("score"))
     if depth is not None:
-        from pyspark.sql import Window
-
         w = Window.partitionBy("query_ord").orderBy(F.round("score", DECIMALS).desc(), "path", "block_id")
         per_query = per_query.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= depth)
     return top_k(merged(per_query, merge), k)
 
 
+def decayed_search(index: FullTextTables, query: str, k: int = DEFAULT_DEPTH, paths: Iterable[str] | None = None, analyzer: Analyzer = Analyzer()) -> DataFrame:
+    """search for one query with scores that tell the order only: 1 - (rank - 1) / hits."""
+    return rank_decay(ranked(search(index, [query], k, paths=paths, analyzer=analyzer), k)).select(*KEY, "score")
+
+
 def expanded_terms(index: FullTextTables, query: str, prefix: bool = True, fuzzy: float | None = None, analyzer: Analyzer = Analyzer()) -> DataFrame:
     """term, query_ord, weight: the vocabulary's terms that a query's terms reach.
 
     Exactly (weight 1), as a prefix (length of the query's term over the term's), or within an edit distance of fuzzy times the query term's
     length, rounded (weight 1 / (1 + distance)). Only the vocabulary is searched, never the postings.
     """
-    vocabulary = index.postings.select("term").distinct()
+    vocabulary = index.dfs.select("term")
     asked = query_terms(index.postings, [query], analyzer).withColumnRenamed("term", "asked")
     j = vocabulary.crossJoin(F.broadcast(asked))  # the query's terms
     weight = F.when(F.col("term") == F.col("asked"), 1.0)
@@ -138,7 +199,7 @@ def coverage_search(index: FullTextTables, query: str, k: int = DEFAULT_DEPTH, p
     """search by coverage: distinct query terms that a block has over all of them, ties by their density in the block."""
     terms = query_terms(index.postings, [query], analyzer)
     n = max(1, len(analyzer.terms(query)))
-    hits = index.postings.join(F.broadcast(terms), "term")
+    hits = index.postings.join(F.broadcast(terms), "term")  # the query's terms
     keep = any_prefix(F.col("path"), paths)
     hits = hits if keep is None else hits.where(keep)
     density = F.sum("tf") / F.first("len")

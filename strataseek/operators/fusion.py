@@ -35,7 +35,7 @@ def ranked(hits: DataFrame, k: int) -> DataFrame:
 def reciprocal_rank_fusion(streams: Sequence[tuple[str, DataFrame, float]], k: int, constant: int = RRF_K) -> DataFrame:
     """path, block_id, score, sub_results of the k best over (name, ranked hits, weight).
 
-    A hit adds weight / (constant + rank) for each stream and, once, a bonus for its best rank. sub_results maps a stream's name to
+    Of a key that a stream has several times the best-ranked hit counts, and the ranks after it move up. A hit adds weight / (constant + rank) for each stream and, once, a bonus for its best rank. sub_results maps a stream's name to
     the score and snippet there. Equal scores keep the order in which they are met: streams in turn, each by rank.
     """
     if not streams:
@@ -43,6 +43,7 @@ def reciprocal_rank_fusion(streams: Sequence[tuple[str, DataFrame, float]], k: i
     parts = []
     for i, (name, hits, weight) in enumerate(streams):
         snippet = F.col("snippet") if "snippet" in hits.columns else F.lit(None).cast("string")
+        hits = first_occurrences(hits)
         parts.append(
             hits.select(
                 *KEY, F.lit(i).alias("_stream"), F.col("rank").alias("_rank"), (F.lit(float(weight)) / (F.lit(float(constant)) + F.col("rank"))).alias("_part"),
@@ -60,6 +61,12 @@ def reciprocal_rank_fusion(streams: Sequence[tuple[str, DataFrame, float]], k: i
     return scored.orderBy(F.round("score", DECIMALS).desc(), "_first").limit(k).select(*KEY, "score", "sub_results")
 
 
+def first_occurrences(hits: DataFrame) -> DataFrame:
+    """Ranked hits, each key at its first rank alone, with ranks from 1 without gaps. hits: a top-k."""
+    again = hits.withColumn("_n", F.row_number().over(Window.partitionBy(*KEY).orderBy("rank"))).where("_n = 1").drop("_n")
+    return again.withColumn("rank", F.row_number().over(Window.orderBy("rank", *KEY)))
+
+
 def weighted_blend(results: DataFrame, weights: dict[str, float], k: int | None = None) -> DataFrame:
     """Rescore results (pos from 0, one nullable score column for each name) by the weighted sum of min-max normalised scores.
 

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataseek.functions.paths import KEY, any_prefix
@@ -57,8 +57,14 @@ def best_cosine(blocks: DataFrame, queries: Sequence[Sequence[float]]) -> DataFr
         for b in batches:
             if not b.num_rows:
                 continue
-            v = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            check_dimension(q[0], v.shape[1])
+            rows = b.column("embedding")
+            sizes = np.diff(rows.offsets.to_numpy())
+            wrong = np.flatnonzero(sizes != q.shape[1])
+            if len(wrong):
+                raise ValueError(f"Expected dimensionality {q.shape[1]}, got {sizes[wrong[0]]}")
+            if rows.flatten().null_count:
+                raise ValueError("An embedding has a null component")
+            v = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
             n = np.sqrt((v * v).sum(1))
             scores = (v @ q.T).max(1) / np.where(n == 0, 1, n)
             yield pa.RecordBatch.from_arrays([b.column("path"), b.column("block_id"), pa.array(np.where(n == 0, 0.0, scores))], names=["path", "block_id", "score"])
@@ -74,11 +80,62 @@ def search(blocks: DataFrame, queries: Sequence[Sequence[float]], k: int = DEFAU
     return top_k(best_cosine(blocks if keep is None else blocks.where(keep), queries), k)
 
 
+#: Components of the requests that batch_search holds in a task: 256 MB.
+HELD_COMPONENTS = 32 << 20
+
+
 def batch_search(blocks: DataFrame, requests: DataFrame, k: int = DEFAULT_DEPTH) -> DataFrame:
-    """request_id, rank, path, block_id, score for many requests (request_id, embedding) in one plan; blocks move to none of them."""
-    from pyspark.sql import Window
+    """request_id, rank, path, block_id, score for many requests (request_id, embedding): the k best blocks of each.
+
+    The requests are a stated set: they are collected, and their size is checked. Each batch of blocks meets all of them in one matrix product and hands on its k best for each
+    request; only those move. Requests with a null or without a component are left out.
+    """
+    found = requests.where("request_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
+    size = found.agg(F.sum(F.size("embedding")).alias("n")).first()["n"] or 0
+    if size > HELD_COMPONENTS:
+        raise ValueError(f"{size} components of requests; send at most {HELD_COMPONENTS} at once")
+    asked = found.select("request_id", "embedding").orderBy("request_id").toArrow()
+    kind = requests.schema["request_id"].dataType.simpleString()
+    schema = f"request_id {kind}, path string, block_id string, score double"
+    if not asked.num_rows:
+        return blocks.sparkSession.createDataFrame([], f"request_id {kind}, rank int, path string, block_id string, score double")
+    ids, lists = (asked[c].combine_chunks() for c in ("request_id", "embedding"))
+    if len(np.unique(np.diff(lists.offsets.to_numpy()))) > 1:
+        raise ValueError("Requests differ in dimensionality")
+    q = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+    norms = np.sqrt((q * q).sum(1))
+    held = blocks.sparkSession.sparkContext.broadcast(q / np.where(norms == 0, 1, norms)[:, None])  # its size was checked
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = held.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = b.column("embedding")
+            wrong = np.flatnonzero(np.diff(rows.offsets.to_numpy()) != q.shape[1])
+            if len(wrong):
+                raise ValueError(f"Expected dimensionality {q.shape[1]} in all blocks")
+            v = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            n = np.sqrt((v * v).sum(1))
+            v = v / np.where(n == 0, 1, n)[:, None]
+            for s in range(0, len(q), max(1, 4_000_000 // b.num_rows)):
+                part = q[s : s + max(1, 4_000_000 // b.num_rows)]
+                scores = np.round(part @ v.T, 9)
+                # ties at the k-th place all go on, so that path and block_id decide among them
+                least = np.partition(scores, -k, axis=1)[:, -k] if b.num_rows > k else np.full(len(part), -np.inf)
+                r, c = np.nonzero(scores >= least[:, None])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(s + r)), b.column("path").take(pa.array(c)), b.column("block_id").take(pa.array(c)), pa.array(scores[r, c])], names=["request_id", "path", "block_id", "score"])
+
+    near = blocks.where("embedding IS NOT NULL").select(*KEY, "embedding").mapInArrow(run, schema)
+    w = Window.partitionBy("request_id").orderBy(F.col("score").desc(), "path", "block_id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("request_id", "rank", *KEY, "score")
+
+
+def encode_embedding(embedding: Column) -> Column:
+    """An embedding as text, [x,y,...], as SQL clients pass it."""
+    return F.when(embedding.isNotNull(), F.concat(F.lit("["), F.array_join(F.transform(embedding, lambda x: x.cast("string")), ","), F.lit("]")))
+
 
-    j = blocks.where("embedding IS NOT NULL").select(*KEY, "embedding").crossJoin(requests.select("request_id", F.col("embedding").alias("_q")))
-    s = j.select("request_id", *KEY, cosine(F.col("embedding"), F.col("_q")).alias("score"))
-    w = Window.partitionBy("request_id").orderBy(F.round("score", 9).desc(), "path", "block_id")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("request_id", "rank", *KEY, "score")
+def decode_embedding(text: Column) -> Column:
+    """array<float> of such a text; what is no list of numbers gives null."""
+    return F.from_json(text, "array<float>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -90,6 +92,75 @@ def fts_fuzzy(spark, d):
     return _rounded(fulltext.expanded_search(_index(spark, d), "thern", K, False, 0.2))
 
 
+def fts_prefix_fuzzy(spark, d):
+    return _rounded(fulltext.expanded_search(_index(spark, d), "thern anders", K, True, 0.2))
+
+
+def fts_depth(spark, d):
+    """Each query's hits are cut to 7 before they are merged."""
+    return _rounded(fulltext.search(_index(spark, d), [ONE, "and was", "for"], K, "sum", depth=7))
+
+
+def _stored(spark, d):
+    """An index of documents and vectors that was committed, changed, committed and opened again. Its folder goes when the session ends."""
+    from strataseek.sources.catalog import Catalog, FullTextAccess, PathSelector, VectorAccess
+
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
+    root = f"{folder.rstrip('/')}/catalog-{uuid.uuid4().hex}"
+    dim = len(_vector_of(spark, d, 0)[0])
+    index = Catalog(spark, root).create_index("whole", {"text": {"type": "fulltext"}, "vec": {"type": "vector", "dimensionality": dim}})
+    FullTextAccess("text").get(index).add_document(_documents(spark, d).select(*KEY, "content"))
+    VectorAccess("vec").get(index).add_document(_vectors(spark, d).select(*KEY, "embedding"))
+    index.catalog.flush()
+    index.delete_documents([PathSelector("/en/src1"), PathSelector("/emb/1")])
+    index.catalog.close()
+    return Catalog(spark, root).get_index("whole")
+
+
+def catalog_round_trip(spark, d):
+    """Blocks and paths that a committed index has after a deletion, by sub-index and first path component."""
+    parts = [index.get_documents_blocks().select(F.lit(name).alias("sub_index"), F.split("path", "/")[1].alias("top"), "path") for name, index in _stored(spark, d).get_bindings()]
+    both = parts[0].unionByName(parts[1])
+    return both.groupBy("sub_index", "top").agg(F.count(F.lit(1)).alias("blocks"), F.countDistinct("path").alias("paths"))
+
+
+def catalog_search(spark, d):
+    """Hybrid search of a committed index by name."""
+    from strataseek.sources.catalog import FullTextQuery, SearchRequest, VectorQuery
+
+    request = SearchRequest(K, None, {"text": FullTextQuery([ONE], K), "vec": VectorQuery(_vector_of(spark, d, 0), K)})
+    return _rounded(_stored(spark, d).search(request))
+
+
+def rrf_repeated_keys(spark, d):
+    """A stream that has each of its keys twice counts each at its first rank."""
+    a = _ranked(spark, d, ONE)
+    twice = a.withColumn("rank", F.col("rank") * 2 - 1).unionByName(a.withColumn("rank", F.col("rank") * 2 + 3))
+    return _rounded(fusion.reciprocal_rank_fusion([("a", twice, 1.0), ("b", _ranked(spark, d, "and was for"), 1.0)], K))
+
+
+def vector_batch(spark, d):
+    """The 5 nearest blocks of every vector whose id is divisible by 20."""
+    v = _vectors(spark, d)
+    asked = v.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("request_id"), "embedding")
+    return vector.batch_search(v.select(*KEY, "embedding"), asked, 5).withColumn("score", F.round("score", 6))
+
+
+def embedding_text(spark, d):
+    """Embeddings written as text and read back."""
+    v = _vectors(spark, d)
+    back = vector.decode_embedding(vector.encode_embedding(F.col("embedding")))
+    return v.select("vec_id", F.size(back).alias("n"), (back == F.col("embedding")).alias("same"))
+
+
+def block_metadata(spark, d):
+    """Values read from JSON metadata."""
+    from strataseek.sources.catalog import metadata_value
+
+    held = _documents(spark, d).withColumn("metadata", F.to_json(F.struct(F.struct("lang", "source").alias("origin"), "doc_id")))
+    return held.select(*(metadata_value(F.col("metadata"), p).alias(n) for p, n in (("$.doc_id", "id"), ("$.origin.lang", "lang"), ("$.origin.none", "none"))))
+
+
 def fts_coverage(spark, d):
     return _rounded(fulltext.coverage_search(_index(spark, d), ONE + " zzz", K))
 
@@ -251,7 +322,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         vector_cosine_topk, vector_multi_query_max, vector_path_scoped, vector_cosine_column, fts_bm25_single, fts_bm25_or, fts_multi_query_sum, fts_multi_query_max, fts_path_scoped,
-        fts_prefix, fts_fuzzy, fts_coverage, fts_rank_decay, fts_snippets, postings, corpus_stats, rrf_two_streams, rrf_three_streams, rrf_hybrid, rrf_sub_results, weighted_blend,
+        fts_prefix, fts_fuzzy, fts_prefix_fuzzy, fts_depth, catalog_round_trip, catalog_search, rrf_repeated_keys, vector_batch, embedding_text, block_metadata, fts_coverage, fts_rank_decay, fts_snippets, postings, corpus_stats, rrf_two_streams, rrf_three_streams, rrf_hybrid, rrf_sub_results, weighted_blend,
         rerank_blend, citations, size_by_prefix, distinct_paths, block_refs, document_blocks, upsert_last_wins, delete_selectors, orphan_docs, break_points, code_fences, chunk_documents,
         intent_terms, best_chunk, lex_query_validity, semantic_query_validity, composite_key, escaped_like, structured_query,
     )
@@ -327,6 +398,22 @@ ORACLE: dict[str, str] = {
     "fts_path_scoped": f"WITH {POSTINGS} {_top(_hits(ONE + ' que', _under('/es', '/en/src1')))}",
     "fts_prefix": _EXPANDED.format(p=POSTINGS, w="5.0 / length(term)", c="starts_with(term, 'thatn')") + _top("SELECT path, block_id, sum(p) AS score FROM e GROUP BY ALL"),
     "fts_fuzzy": _EXPANDED.format(p=POSTINGS, w="(1.0 / (1 + levenshtein(term, 'thern')))", c="levenshtein(term, 'thern') <= 1") + _top("SELECT path, block_id, sum(p) AS score FROM e GROUP BY ALL"),
+    "fts_prefix_fuzzy": f"""WITH {POSTINGS}, a(asked) AS (VALUES ('thern'), ('anders')),
+w AS (SELECT p.*, greatest(CASE WHEN term = asked THEN 1.0::DOUBLE END, CASE WHEN starts_with(term, asked) THEN length(asked)::DOUBLE / length(term) END,
+  CASE WHEN term <> asked AND NOT starts_with(term, asked) AND levenshtein(term, asked) <= round(length(asked) * 0.2) THEN 1.0::DOUBLE / (1 + levenshtein(term, asked)) END) AS weight FROM parts p, a),
+x AS (SELECT path, block_id, term, any_value(part) AS part, max(weight) AS weight FROM w WHERE weight IS NOT NULL GROUP BY path, block_id, term)
+""" + _top("SELECT path, block_id, sum(part * weight) AS score FROM x GROUP BY ALL"),
+    "fts_depth": f"WITH {POSTINGS} " + _top("SELECT path, block_id, sum(score) AS score FROM (" + " UNION ALL ".join(f"SELECT * FROM ({_hits(q)} ORDER BY round(score, 9) DESC, path, block_id LIMIT 7)" for q in (ONE, "and was", "for")) + ") GROUP BY ALL"),
+    "catalog_round_trip": f"""WITH {DOCS}, {VECS}, b AS (SELECT 'text' AS sub_index, path FROM docs WHERE NOT {_under('/en/src1')} UNION ALL SELECT 'vec', path FROM vecs WHERE NOT {_under('/emb/1')})
+SELECT sub_index, string_split(path, '/')[2] AS top, count(*) AS blocks, count(DISTINCT path) AS paths FROM b GROUP BY ALL""",
+    "catalog_search": f"""WITH {POSTINGS.replace('FROM documents)', f"FROM documents WHERE NOT ({_under('/en/src1').replace('path', "('/' || lang || '/' || source || '/' || doc_id)")}))")}, {VECS}, a AS ({_rank(ONE)}),
+b AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, path, block_id) AS rank FROM (SELECT a.path, a.block_id, list_cosine_similarity(a.v, q.v) AS score FROM vecs a, (SELECT v FROM vecs WHERE vec_id = 0) q WHERE NOT {_under('/emb/1').replace('path', 'a.path')}) {TOP})
+{_fused(('a', 1.0), ('b', 1.0))}""",
+    "rrf_repeated_keys": f"WITH {POSTINGS}, a AS ({_rank(ONE)}), b AS ({_rank('and was for')}) {_fused(('a', 1.0), ('b', 1.0))}",
+    "vector_batch": f"""WITH {VECS} SELECT request_id, CAST(rank AS INTEGER) AS rank, path, block_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, path, block_id) AS rank
+ FROM (SELECT q.vec_id AS request_id, a.path, a.block_id, list_cosine_similarity(a.v, q.v) AS score FROM vecs a, vecs q WHERE q.vec_id % 20 = 0)) WHERE rank <= 5""",
+    "embedding_text": "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, TRUE AS same FROM embeddings",
+    "block_metadata": "SELECT CAST(doc_id AS VARCHAR) AS id, lang, CAST(NULL AS VARCHAR) AS none FROM documents",
     "fts_coverage": f"WITH {POSTINGS} " + _top("SELECT path, block_id, count(*) / 4 + sum(tf) / any_value(len) / 8 AS score FROM parts WHERE term IN ('the', 'and', 'of', 'zzz') GROUP BY ALL"),
     "fts_rank_decay": f"WITH {POSTINGS} SELECT path, block_id, round(1 - (rank - 1) / count(*) OVER (), 6) AS score FROM ({_rank(ONE)})",
     "fts_snippets": f"WITH {POSTINGS} SELECT h.path, h.block_id, h.score, content AS snippet FROM ({_top(_hits(ONE))}) h JOIN docs USING (path, block_id)",
@@ -351,7 +438,7 @@ FROM ({_rank(ONE)}) JOIN docs USING (path, block_id) WHERE rank <= 3""",
     "distinct_paths": f"WITH {DOCS} SELECT DISTINCT path FROM docs WHERE {_under('/en/src1', '/fr/')}",
     "block_refs": f"WITH {DOCS} SELECT path, block_id FROM docs WHERE {_under('/de/src2')}",
     "document_blocks": f"WITH {DOCS} SELECT path, block_id, content FROM docs WHERE {_under('/es/src2')}",
-    "upsert_last_wins": f"WITH {DOCS} SELECT path, block_id, CASE WHEN quality = 1 THEN 'newest' WHEN quality IS NOT NULL THEN 'new ' || quality ELSE content[1:40] END AS head FROM docs LEFT JOIN labels USING (doc_id)",
+    "upsert_last_wins": f"WITH {DOCS} SELECT path, block_id, CASE WHEN quality = 1 THEN 'newest' WHEN quality IS NOT NULL THEN 'new ' || quality ELSE content END AS content FROM docs LEFT JOIN labels USING (doc_id)",
     "delete_selectors": f"WITH {DOCS} SELECT path, block_id FROM docs WHERE NOT {_under('/en/src1', '/fr/')} AND path NOT IN ('/de/src2', '/es/src3/1')",
     "orphan_docs": f"WITH {DOCS} SELECT DISTINCT path FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "break_points": f"""WITH {MARKED}, s AS (SELECT doc_id, position, CASE WHEN bare = '' AND number > 0 THEN 20 WHEN starts_with(bare, '```') THEN 80 WHEN bare IN ('---', '___', '***') THEN 60

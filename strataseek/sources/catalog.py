@@ -1,19 +1,24 @@
 """Indexes on storage: a catalog of named indexes, each with named sub-indexes, as Parquet versions under manifests.
 
-<root>/<index>/manifest.json lists the sub-indexes with type, config and current version; <root>/<index>/<sub>/v<n>/ holds the tables
-of version n. A change writes the next version beside the current one and then replaces the manifest, which is the commit; a reader keeps the
-version it opened. A sub-index that isn't opened is left in place, manifest entry and all.
+<root>/<index>/manifest-<m>.json lists the sub-indexes with type, config and current version; <root>/<index>/<sub>/v<n>/ holds the tables
+of version n. A flush writes the next version of what changed beside the current one and then the manifest of the next number, under another name first: its rename is the
+commit, and at every moment the manifest with the largest number is whole. A reader keeps the version it opened; the last KEPT versions and manifests stay. A sub-index
+that isn't opened, or didn't change, is left in place, manifest entry and all.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 import threading
+import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any, Protocol, runtime_checkable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataseek.functions.paths import KEY, any_prefix, safe_name
@@ -23,6 +28,9 @@ from strataseek.operators.mutation import delete, last_wins, upsert
 
 FULL_TEXT_TYPE, VECTOR_TYPE = "fulltext", "vector"
 FORMAT_VERSION = 1
+#: Versions of a sub-index, and manifests, that stay.
+KEPT = 2
+FULL_TEXT_MODES = ("bm25", "prefix_fuzzy", "coverage", "decay")
 
 
 @dataclass
@@ -36,10 +44,16 @@ class SearchRequest:
 
 @dataclass
 class FullTextQuery:
+    """mode: one of FULL_TEXT_MODES. depth: each query's hits are cut to so many before several are merged. prefix, fuzzy: of the mode prefix_fuzzy."""
+
     queries: list[str]
     top_k: int | None = None
     paths: list[str] | None = None
     merge: str = "sum"
+    mode: str = "bm25"
+    depth: int | None = None
+    prefix: bool = True
+    fuzzy: float | None = 0.2
 
 
 @dataclass
@@ -89,25 +103,28 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, name: str, text: str) -> None:
-        """Replace a file: written beside it, then renamed over it."""
+    def create(self, name: str, text: str) -> None:
+        """A file that isn't there yet: written under another name, then renamed, so that it is seen whole or not at all."""
         fs, path = self._at(name)
         _, fresh = self._at(name + ".next")
         stream = fs.create(fresh, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(fresh, path)
+        if fs.exists(path) or not fs.rename(fresh, path):
+            raise FileExistsError(f"{name} exists: another writer has committed")
 
     def delete(self, name: str) -> None:
         fs, path = self._at(name)
         fs.delete(path, True)
 
-    def folders(self) -> list[str]:
-        fs, path = self._at("")
+    def folders(self, name: str = "") -> list[str]:
+        fs, path = self._at(name)
         return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()) if fs.exists(path) else []
 
+    def files(self, name: str) -> list[str]:
+        fs, path = self._at(name)
+        return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isFile()) if fs.exists(path) else []
+
 
 class SubIndex:
     """Blocks of one modality. add, delete and enumerate are the same for all; search is the modality's."""
@@ -117,6 +134,9 @@ class SubIndex:
 
     def __init__(self, spark: SparkSession, config: dict[str, Any]):
         self.spark, self.config, self.closed, self.dirty = spark, config, False, True
+        self.lock = threading.RLock()
+        #: Whether the blocks differ from the committed version's.
+        self.unsaved = True
         self.blocks = spark.createDataFrame([], self.schema())
 
     def schema(self) -> str:
@@ -129,12 +149,13 @@ class SubIndex:
     def add_document(self, blocks: DataFrame) -> None:
         """Upsert blocks; of equal keys in one batch the last by seq wins (any, if there is no seq column)."""
         self._open()
-        self.check(blocks)
+        blocks = self.check(blocks)
         names = [x.split()[0] for x in self.schema().split(", ")]
         fresh = blocks if "metadata" in blocks.columns else blocks.withColumn("metadata", F.lit(None).cast("string"))
         fresh = last_wins(fresh, "seq") if "seq" in fresh.columns else fresh.dropDuplicates(KEY)
-        self.blocks = upsert(self.blocks, fresh.select(*names))
-        self.dirty = True
+        with self.lock:
+            self.blocks = upsert(self.blocks, fresh.select(*names))
+            self.dirty = self.unsaved = True
 
     def add_documents(self, batches: Iterable[DataFrame]) -> None:
         for b in batches:
@@ -142,10 +163,12 @@ class SubIndex:
 
     def delete_documents(self, selectors: Iterable[PathSelector]) -> None:
         self._open()
-        self.blocks = delete(self.blocks, [(s.path, s.block_id) for s in selectors])
-        self.dirty = True
+        with self.lock:
+            self.blocks = delete(self.blocks, [(s.path, s.block_id) for s in selectors])
+            self.dirty = self.unsaved = True
 
-    def check(self, blocks: DataFrame) -> None: ...
+    def check(self, blocks: DataFrame) -> DataFrame:
+        return blocks
 
     def _under(self, prefix: str | None) -> DataFrame:
         self._open()
@@ -179,7 +202,7 @@ class SubIndex:
         yield "blocks", self.blocks
 
     def load_from(self, entries: dict[str, DataFrame]) -> None:
-        self.blocks, self.dirty = entries["blocks"], True
+        self.blocks, self.dirty, self.unsaved = entries["blocks"], True, False
 
     def search(self, query: Any, default_paths: list[str] | None = None) -> DataFrame:
         raise NotImplementedError
@@ -202,37 +225,57 @@ class FullTextIndex(SubIndex):
     def serialise(self) -> Iterator[tuple[str, DataFrame]]:
         self.prepare()
         yield "blocks", self.blocks
-        # sorted by term: a search reads the row groups of its terms alone
-        yield "postings", self.tables.postings.repartitionByRange("term").sortWithinPartitions("term", *KEY)
+        # sorted by term: a search reads the row groups of its terms alone. A frequent term's postings are cut by path.
+        stored = yield "postings", self.tables.postings.repartitionByRange("term", *KEY).sortWithinPartitions("term", *KEY)
+        dfs = self.tables.dfs if stored is None else fulltext.document_frequencies(stored)
+        yield "dfs", dfs.sortWithinPartitions("term")
         yield "stats", self.tables.stats
 
     def load_from(self, entries: dict[str, DataFrame]) -> None:
-        self.blocks = entries["blocks"]
-        self.dirty = not {"postings", "stats"} <= entries.keys()
-        self.tables = None if self.dirty else fulltext.FullTextTables(self.blocks, entries["postings"], entries["stats"])
+        self.blocks, self.unsaved = entries["blocks"], False
+        self.dirty = not {"postings", "stats", "dfs"} <= entries.keys()
+        self.tables = None if self.dirty else fulltext.FullTextTables(self.blocks, entries["postings"], entries["stats"], entries["dfs"], stored=True)
 
     def search(self, query: FullTextQuery, default_paths: list[str] | None = None) -> DataFrame:
+        """The modes but bm25 take one query at a time; several are merged as those of bm25 are."""
         self._open()
         self.prepare()
-        hits = fulltext.search(self.tables, query.queries, query.top_k or fulltext.DEFAULT_DEPTH, query.merge, query.paths or default_paths, self.analyzer)
+        k, paths = fulltext.DEFAULT_DEPTH if query.top_k is None else query.top_k, query.paths or default_paths
+        if query.mode not in FULL_TEXT_MODES:
+            raise ValueError(f"Unknown mode: {query.mode}")
+        if query.mode == "bm25":
+            hits = fulltext.search(self.tables, query.queries, k, query.merge, paths, self.analyzer, query.depth)
+        else:
+            depth = max(k, fulltext.DEFAULT_DEPTH) if query.depth is None else query.depth
+            if query.mode == "prefix_fuzzy":
+                each = [fulltext.expanded_search(self.tables, q, depth, query.prefix, query.fuzzy, paths, self.analyzer) for q in query.queries]
+            else:
+                one = fulltext.coverage_search if query.mode == "coverage" else fulltext.decayed_search
+                each = [one(self.tables, q, depth, paths, self.analyzer) for q in query.queries]
+            if not each:
+                return fulltext.with_snippets(fulltext.search(self.tables, [], k), self.blocks)
+            hits = fusion.top_k(each[0] if len(each) == 1 else fulltext.merged(functools.reduce(DataFrame.unionByName, each), query.merge), k)
         return fulltext.with_snippets(hits, self.blocks)
 
 
 class VectorIndex(SubIndex):
     type, content = VECTOR_TYPE, "embedding array<float>"
 
-    def check(self, blocks: DataFrame) -> None:
-        """The whole batch is checked before any of it lands."""
+    def check(self, blocks: DataFrame) -> DataFrame:
+        """The whole batch is checked before any of it lands. Embeddings may come as text."""
         d = self.config["dimensionality"]
+        if dict(blocks.dtypes)["embedding"] == "string":
+            blocks = blocks.withColumn("embedding", vector.decode_embedding(F.col("embedding")))
         wrong = blocks.where(F.coalesce(F.size("embedding"), F.lit(-1)) != d).select(F.size("embedding").alias("n")).take(1)
         if wrong:
             raise ValueError(f"Expected dimensionality {d}, got {wrong[0]['n']}")
+        return blocks
 
     def search(self, query: VectorQuery, default_paths: list[str] | None = None) -> DataFrame:
         self._open()
         for e in query.embeddings:
             vector.check_dimension(e, self.config["dimensionality"])
-        return vector.search(self.blocks, query.embeddings, query.top_k or vector.DEFAULT_DEPTH, query.paths or default_paths)
+        return vector.search(self.blocks, query.embeddings, vector.DEFAULT_DEPTH if query.top_k is None else query.top_k, query.paths or default_paths)
 
 
 PROVIDERS: dict[str, type[SubIndex]] = {FULL_TEXT_TYPE: FullTextIndex, VECTOR_TYPE: VectorIndex}
@@ -271,7 +314,7 @@ class Index:
             hits = index.search(query, request.paths)
             streams.append((name, hits.withColumn("rank", F.row_number().over(Window.orderBy(*fusion.by_score()))), 1.0))  # a top-k
         if not streams:
-            spark = SparkSession.getActiveSession()
+            spark = self.catalog.spark if self.catalog is not None else SparkSession.getActiveSession()
             return spark.createDataFrame([], "path string, block_id string, score double, sub_results map<string, struct<score: double, snippet: string>>")
         return fusion.reciprocal_rank_fusion(streams, request.top_k)
 
@@ -291,6 +334,8 @@ class Index:
             for index in self.bindings.values():
                 index.close()
             self.closed = True
+            if self.catalog is not None:
+                self.catalog.forget(self)
 
     def delete_index(self) -> None:
         if self.catalog is not None:
@@ -299,7 +344,7 @@ class Index:
 
 
 class Catalog:
-    """The indexes under a root. Changes are serialised by a lock; flush() commits every open index."""
+    """The indexes under a root. Changes are serialised by a lock; flush() commits what changed in the open indexes. An index that is closed without it keeps what was committed."""
 
     def __init__(self, spark: SparkSession, root: str, providers: dict[str, type[SubIndex]] | None = None):
         self.spark, self.root, self.providers = spark, root.rstrip("/"), dict(providers or PROVIDERS)
@@ -310,7 +355,8 @@ class Catalog:
             raise RuntimeError("The catalog is closed")
 
     def _manifest(self, name: str) -> dict | None:
-        text = self.files.read(f"{safe_name(name)}/manifest.json")
+        number = self._number(name)
+        text = self.files.read(f"{safe_name(name)}/manifest-{number}.json") if number else None
         if text is None:
             return None
         found = json.loads(text)
@@ -318,14 +364,36 @@ class Catalog:
             raise ValueError(f"Index {name} has format {found.get('format_version')}; this is format {FORMAT_VERSION}")
         return found
 
+    def _numbers(self, folder: str) -> list[int]:
+        return sorted(int(m[1]) for f in self.files.files(folder) if (m := re.fullmatch(r"manifest-(\d+)\.json", f)))
+
+    def _number(self, name: str) -> int:
+        """The number of the manifest that counts, 0 if there is none."""
+        return max(self._numbers(safe_name(name)), default=0)
+
     def _commit(self, name: str, manifest: dict) -> None:
-        self.files.write(f"{safe_name(name)}/manifest.json", json.dumps(manifest | {"name": name, "format_version": FORMAT_VERSION}))
+        number = self._number(name) + 1
+        self.files.create(f"{safe_name(name)}/manifest-{number}.json", json.dumps(manifest | {"name": name, "format_version": FORMAT_VERSION}))
+        # what no kept manifest needs goes; a failure here loses nothing
+        for old in self._numbers(safe_name(name)):
+            if old <= number - KEPT:
+                self.files.delete(f"{safe_name(name)}/manifest-{old}.json")
+        for sub, held in manifest["sub_indexes"].items():
+            for folder in self.files.folders(f"{safe_name(name)}/{safe_name(sub)}"):
+                if re.fullmatch(r"v\d+", folder) and int(folder[1:]) <= held["version"] - KEPT:
+                    self.files.delete(f"{safe_name(name)}/{safe_name(sub)}/{folder}")
 
     def get_index_names(self) -> list[str]:
         self._live()
-        found = [json.loads(t)["name"] for d in self.files.folders() if (t := self.files.read(f"{d}/manifest.json"))]
+        found = [json.loads(self.files.read(f"{d}/manifest-{n[-1]}.json"))["name"] for d in self.files.folders() if (n := self._numbers(d))]
         return sorted({*found, *self.open})
 
+    def forget(self, index: Index) -> None:
+        """An index that was closed is opened anew by the next get_index."""
+        with self.lock:
+            if self.open.get(index.name) is index:
+                del self.open[index.name]
+
     def has_index(self, name: str) -> bool:
         self._live()
         return name in self.open or self._manifest(name) is not None
@@ -389,33 +457,114 @@ class Catalog:
                 index.close()
             self.files.delete(safe_name(name))
 
-    def flush(self) -> None:
-        """Write and commit the next version of every open sub-index; what isn't open keeps its entry."""
+    def flush(self, names: Iterable[str] | None = None) -> None:
+        """Write and commit the next version of every sub-index that changed, of the open indexes (or those named); the rest keeps its entry. Nothing changed, nothing is written."""
         with self.lock:
             self._live()
-            for name, index in self.open.items():
+            for name, index in [(n, i) for n, i in self.open.items() if names is None or n in set(names)]:
                 manifest = self._manifest(name) or {"sub_indexes": {}}
+                before = json.dumps(manifest, sort_keys=True)
                 manifest["metadata"] = index.metadata
                 for sub, made in index.get_bindings():
                     held = manifest["sub_indexes"].get(sub, {"version": 0, "entries": []})
+                    if not getattr(made, "unsaved", True):
+                        continue
                     version, entries = held["version"] + 1, []
                     base = f"{self.root}/{safe_name(name)}/{safe_name(sub)}/v{version}"
-                    for entry, table in made.serialise():
+                    parts = made.serialise()
+                    part = next(parts, None)
+                    while part is not None:
+                        entry, table = part
                         table.write.mode("overwrite").parquet(f"{base}/{entry}")
                         entries.append(entry)
+                        # a generator gets each table back as it is stored, to go on from there
+                        try:
+                            part = parts.send(self.spark.read.parquet(f"{base}/{entry}")) if hasattr(parts, "send") else next(parts, None)
+                        except StopIteration:
+                            part = None
                     made.load_from({e: self.spark.read.parquet(f"{base}/{e}") for e in entries})
                     manifest["sub_indexes"][sub] = {"spec": {"type": made.type, **made.config}, "version": version, "entries": entries}
-                self._commit(name, manifest)
+                if json.dumps(manifest, sort_keys=True) != before:
+                    self._commit(name, manifest)
 
     def close(self) -> None:
         with self.lock:
             if not self.closed:
                 self.flush()
-                for index in self.open.values():
+                for index in list(self.open.values()):
                     index.close()
                 self.open, self.closed = {}, True
 
 
+def metadata_value(metadata: Column, path: str) -> Column:
+    """A value of the JSON metadata of a block, by a path such as $.owner.name; null where the text isn't JSON or has no such value."""
+    return F.get_json_object(metadata, path)
+
+
+class SqlClient:
+    """SQL over the blocks of an open index: each sub-index is a view by its name, for this client's queries alone."""
+
+    def __init__(self, spark: SparkSession, index: Index):
+        self.spark, self.index = spark, index
+
+    def query(self, sql: str, params: dict[str, Any] | None = None) -> DataFrame:
+        """The rows of a query. {name} stands for the blocks of sub-index name, :x for the parameter x."""
+        return self.spark.sql(sql, args=params, **{name: held.get_documents_blocks() for name, held in self.index.get_bindings()})
+
+
+def sub_query(request: SearchRequest, name: str, make: type, **fields: Any) -> SearchRequest:
+    """The request with a sub-query for a sub-index that it may have already, its fields replaced."""
+    held = request.sub_queries.get(name)
+    request.sub_queries[name] = make(**fields) if held is None else replace(held, **fields)
+    return request
+
+
+def result_of(results: DataFrame, name: str) -> DataFrame:
+    """path, block_id, score, snippet of a sub-index's own hits among results."""
+    own = F.col("sub_results").getItem(name)
+    return results.where(own.isNotNull()).select(*KEY, own["score"].alias("score"), own["snippet"].alias("snippet"))
+
+
+def write_arrow(blocks: DataFrame, folder: str) -> list[str]:
+    """Blocks as Arrow IPC streams, a file for each partition; their paths. folder: a URI or path that pyarrow.fs opens, on storage that all executors share."""
+    schema = blocks.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = _opened(f"{folder.rstrip('/')}/part-{uuid.uuid4().hex}.arrow")
+        writer = None
+        for batch in batches:
+            if writer is None:
+                system.create_dir(inner.rpartition("/")[0], recursive=True)
+                sink = system.open_output_stream(inner)
+                writer = pa.ipc.new_stream(sink, batch.schema)
+            writer.write_batch(batch)
+        if writer is not None:
+            writer.close()
+            sink.close()
+            yield pa.RecordBatch.from_arrays([pa.array([inner if "://" not in folder else f"{folder.rstrip('/')}/{inner.rpartition('/')[2]}"])], names=["file"])
+
+    return sorted(r["file"] for r in blocks.select(*schema.names).mapInArrow(run, "file string").collect())  # a path for each partition
+
+
+def read_arrow(spark: SparkSession, files: list[str], schema: str) -> DataFrame:
+    """The rows of Arrow IPC streams, a task for each file, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("file").to_pylist():
+                system, inner = _opened(path)
+                with system.open_input_stream(inner) as source, pa.ipc.open_stream(source) as reader:
+                    yield from reader
+
+    return spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, len(files))).mapInArrow(run, schema)
+
+
+def _opened(path: str) -> tuple[Any, str]:
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class FullTextAccess:
     """Typed access to one full-text sub-index by name."""
 
@@ -451,8 +600,7 @@ class FullTextAccess:
 
     def get_result(self, results: DataFrame) -> DataFrame:
         """path, block_id, score, snippet of this sub-index's own hits among results."""
-        own = F.col("sub_results").getItem(self.name)
-        return results.where(own.isNotNull()).select(*KEY, own["score"].alias("score"), own["snippet"].alias("snippet"))
+        return result_of(results, self.name)
 
 
 class VectorAccess(FullTextAccess):

@@ -19,7 +19,7 @@ def stream_into(blocks: DataFrame, catalog: Catalog, index: str, sub_index: str,
         if opened is None:
             raise KeyError(f"No index {index}")
         opened.get_binding(sub_index).add_document(batch)
-        catalog.flush()
+        catalog.flush([index])
 
     writer = blocks.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

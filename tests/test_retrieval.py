@@ -337,6 +337,128 @@ def test_stream_upserts(spark, tmp_path):
     assert got == {"1": "version 1", "x0": "fox", "x1": "fox"}
 
 
+def test_flush_writes_what_changed(spark, tmp_path):
+    root = tmp_path / "root"
+    made = lambda: sorted(str(p.relative_to(root)) for p in root.glob("i/*")) + sorted(str(p.relative_to(root)) for p in root.glob("i/*/v*"))
+    c = Catalog(spark, str(root))
+    index = c.create_index("i", SPECS)
+    index.get_binding("text").add_document(blocks_of(spark, [("/d", "1", "fox")]))
+    c.flush()
+    before = made()
+    c.flush()
+    c.close()
+    c = Catalog(spark, str(root))
+    assert c.get_index("i").get_binding("text").search(FullTextQuery(["fox"])).count() == 1
+    c.close()
+    assert made() == before  # neither a flush nor a close without a change writes
+    c = Catalog(spark, str(root))
+    for n in range(3):
+        c.get_index("i").get_binding("vec").add_document(vectors_of(spark, [("/d", str(n), [1.0, 0.0])]))
+        c.flush()
+    assert [x for x in made() if "/vec/" in x] == ["i/vec/v3", "i/vec/v4"] and [x for x in made() if "/text/" in x] == ["i/text/v1"]
+    assert sum(x.startswith("i/manifest") for x in made()) == 2
+    assert c.get_index("i").get_binding("vec").get_size() == 3
+
+
+def test_a_commit_that_fails_leaves_the_one_before(spark, tmp_path, monkeypatch):
+    from strataseek.sources import catalog
+
+    c = Catalog(spark, str(tmp_path / "root"))
+    index = c.create_index("i", SPECS)
+    index.get_binding("text").add_document(blocks_of(spark, [("/d", "1", "fox")]))
+    c.flush()
+    index.get_binding("text").add_document(blocks_of(spark, [("/d", "2", "dog")]))
+
+    def crash(self, name, text):
+        _, path = self._at(name + ".next")
+        path.getFileSystem(self.conf).create(path, True).close()  # written, but not renamed
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(catalog.Files, "create", crash)
+        with pytest.raises(OSError):
+            c.flush()
+    other = Catalog(spark, str(tmp_path / "root"))
+    assert [r["block_id"] for r in other.get_index("i").get_binding("text").get_document_blocks_refs().collect()] == ["1"]
+    with pytest.raises(FileExistsError):  # a second writer that saw the same manifest
+        other.files.create("i/manifest-2.json", "{}")
+
+
+def test_a_closed_index_is_opened_anew(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "root"))
+    index = c.create_index("i", SPECS)
+    index.get_binding("text").add_document(blocks_of(spark, [("/d", "1", "fox")]))
+    c.flush()
+    index.close()
+    again = c.get_index("i")
+    assert again is not index and again.get_binding("text").search(FullTextQuery(["fox"])).count() == 1
+
+
+def test_modes_and_depth_of_the_index(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "root"))
+    text = c.create_index("i", SPECS).get_binding("text")
+    text.add_document(blocks_of(spark, [("/d", "1", "running fox"), ("/d", "2", "fix the runner fox"), ("/d", "3", "fog fog runs")]))
+    ids = lambda **x: [r["block_id"] for r in text.search(FullTextQuery(**x)).orderBy(F.desc("score"), "block_id").collect()]
+    for _ in range(2):  # from the blocks, then from stored postings
+        assert ids(queries=["run"]) == [] and set(ids(queries=["run"], mode="prefix_fuzzy")) == {"1", "2", "3"}
+        assert set(ids(queries=["fox"], mode="prefix_fuzzy", fuzzy=None)) == {"1", "2"} and set(ids(queries=["fox"], mode="prefix_fuzzy", fuzzy=0.34)) == {"1", "2", "3"}
+        assert ids(queries=["fix fox"], mode="coverage")[0] == "2" and len(ids(queries=["fox", "fog"], mode="coverage", merge="max")) == 3
+        assert [r["score"] for r in text.search(FullTextQuery(["fox fix"], mode="decay")).orderBy(F.desc("score")).collect()] == [1.0, 0.5]
+        assert ids(queries=["fox", "fog"], depth=1) == ids(queries=["fox", "fog"], top_k=2) and ids(queries=["fox"], top_k=0) == [] == ids(queries=[]) == ids(queries=["--"], mode="prefix_fuzzy")
+        assert ids(queries=["fox"], paths=["/e"]) == []
+        c.flush()
+    with pytest.raises(ValueError):
+        ids(queries=["fox"], mode="other")
+
+
+def test_arrow_sql_metadata_and_helpers(spark, tmp_path):
+    from strataseek.sources import catalog
+
+    rows = spark.createDataFrame([("/d", str(i), f"t{i}", '{"a": {"b": %d}}' % i if i else "no json") for i in range(50)], "path string, block_id string, content string, metadata string")
+    for folder in (str(tmp_path / "a"), f"file://{tmp_path}/b"):
+        files = catalog.write_arrow(rows.repartition(3), folder)
+        assert len(files) == 3 and sorted(map(tuple, catalog.read_arrow(spark, files, rows._jdf.schema().toDDL()).collect())) == sorted(map(tuple, rows.collect()))
+    assert catalog.write_arrow(rows.limit(0), str(tmp_path / "c")) == []
+    index = Catalog(spark, str(tmp_path / "root")).create_index("i", {"text": SPECS["text"], "vec": {"type": "vector", "dimensionality": 2}})
+    index.get_binding("text").add_document(rows)
+    index.get_binding("vec").add_document(spark.createDataFrame([("/d", "1", "[1,0.5]")], "path string, block_id string, embedding string"))
+    assert index.get_binding("vec").search(VectorQuery([[1.0, 0.5]])).collect()[0]["score"] == pytest.approx(1)
+    client = catalog.SqlClient(spark, index)
+    assert client.query("SELECT block_id FROM {text} WHERE content = :c", {"c": "t7"}).collect() == [("7",)]
+    got = index.get_binding("text").get_documents_blocks().select("block_id", catalog.metadata_value(F.col("metadata"), "$.a.b").alias("b")).collect()
+    assert {r["block_id"]: r["b"] for r in got} == {str(i): str(i) if i else None for i in range(50)}
+    request = catalog.sub_query(catalog.sub_query(SearchRequest(3), "text", FullTextQuery, queries=["t1"]), "text", FullTextQuery, top_k=2)
+    assert request.sub_queries["text"] == FullTextQuery(["t1"], 2) and catalog.result_of(index.search(request), "text").count() == 1
+
+
+def test_ragged_and_repeated_rows(spark):
+    ragged = vectors_of(spark, [("/d", "1", [1.0, 0.0, 0.0]), ("/d", "2", [1.0] * 5)]).coalesce(1)
+    for run in (lambda: vector.search(ragged, [[1.0, 0.0, 0.0, 0.0]]).collect(), lambda: vector.batch_search(ragged, spark.createDataFrame([(1, [1.0, 0.0])], "request_id int, embedding array<float>")).collect()):
+        with pytest.raises(Exception, match="Expected dimensionality"):
+            run()
+    hits = spark.createDataFrame([("/a", "1", 0.9, 1), ("/a", "1", 0.8, 2), ("/b", "1", 0.7, 3)], "path string, block_id string, score double, rank int")
+    got = {r["path"]: (round(r["score"], 6), r["sub_results"]["s"]["score"]) for r in fusion.reciprocal_rank_fusion([("s", hits, 1.0)], 5).collect()}
+    assert got == {"/a": (round(1 / 61 + 0.05, 6), 0.9), "/b": (round(1 / 62 + 0.02, 6), 0.7)}
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (None, [1.0, 1.0])], "request_id int, embedding array<float>")
+    near = vector.batch_search(vectors_of(spark, [("/d", str(i), [1.0, float(i)]) for i in range(5)]), asked, 2).collect()
+    assert [(r["request_id"], r["rank"], r["block_id"]) for r in sorted(near)] == [(1, 1, "0"), (1, 2, "1"), (2, 1, "0"), (2, 2, "1")]
+    assert vector.batch_search(ragged, asked.limit(0)).count() == 0
+
+
+def test_break_points_agree_on_any_white_space(spark):
+    text = "a\n\u00a0\nb\n\u2003---\u3000\n1.\u00a0x\n\u0661. y\n\x1c- z\n\x0b\nend"
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    assert [(r["position"], r["score"]) for r in chunk.break_points(df, "doc_id").orderBy("position").collect()] == chunk.scan_break_points(text)
+
+
+def test_one_tokenisation_for_one_search(blocks):
+    found = fulltext.search(fulltext.tables(blocks([("/a", "1", "fox dog"), ("/b", "1", "fox")])), ["fox", "dog"])
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan.partition("Initial Plan")[0]
+    assert final.count("regexp_extract_all") == 1 and "ReusedExchange" in final
+
+
 # pipeline
 
 
