@@ -35,6 +35,60 @@ def test_toxicity_held_out():
     assert chain.weights[2][-3] != 0
 
 
+def naive_forms(text):
+    """Features of a text and how often each occurs, one word at a time."""
+    out = Counter()
+    for w in text.lower().split():
+        w = w.strip(op2_toxicity.EDGES)
+        out.update([w, *("^" + w[:k] for k in op2_toxicity.PREFIXES if len(w) > k)])
+    return out
+
+
+def test_toxicity_chain_equals_one_text_at_a_time():
+    data = rows(f"SELECT text, toxic FROM '{SF}/documents.parquet' JOIN '{SF}/labels.parquet' USING (doc_id) ORDER BY doc_id")
+    texts, y = [t for t, _ in data], np.array([y for _, y in data], float)
+    chain = op2_toxicity.fit_chain(texts, y, features=200)
+    got = chain.probabilities(pa.array(texts, pa.large_string()))
+    assert len(chain.words) == 200 and got.shape == (len(texts), 3)
+    for i, t in enumerate(texts):
+        forms, earlier = naive_forms(t), []
+        for k, w in enumerate(chain.weights):
+            z = w[-1] + sum(x for name, x in zip(chain.words, w) if forms[name.removesuffix(op2_toxicity.TWICE)] > name.endswith(op2_toxicity.TWICE))
+            z += sum(p * x for p, x in zip(earlier, w[len(chain.words) : -1]))
+            earlier.append(1 / (1 + math.exp(-z)))
+        assert np.allclose(earlier, got[i], atol=1e-9)
+
+
+def test_toxicity_chain_is_fitted_on_out_of_fold_probabilities(monkeypatch):
+    seen = []
+    fit = op2_toxicity.fit_linear
+    monkeypatch.setattr(op2_toxicity, "fit_linear", lambda row, feature, n, scale, dense, y: (seen.append((n, dense.copy(), y.copy(), row, feature)), fit(row, feature, n, scale, dense, y))[1])
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["oak", "elm", "ash", "fir"]) for _ in range(6)) + (" vile rat" if i % 4 == 0 else " foul pig" if i % 6 == 0 else "") for i in range(300)]
+    y = np.array([float("vile" in t or "foul" in t) for t in texts])
+    op2_toxicity.fit_chain(texts, y)
+    folds = op2_toxicity.FOLDS
+    assert len(seen) == 3 * (folds + 1)
+    whole = [seen[i] for i in range(folds, len(seen), folds + 1)]
+    assert [d.shape[1] for _, d, *_ in whole] == [0, 1, 2] and all(n == 300 for n, *_ in whole)
+    assert ((whole[2][1] > 0) & (whole[2][1] < 1)).all()  # probabilities
+    # each out-of-fold column is what models of the other folds say of the rows they were not fitted on
+    fold = np.random.Generator(np.random.PCG64(2)).permutation(300) % folds
+    _, _, first, row, feature = whole[0]
+    scale_seen = []
+    monkeypatch.setattr(op2_toxicity, "fit_linear", lambda row, feature, n, scale, dense, y: (scale_seen.append(scale), fit(row, feature, n, scale, dense, y))[1])
+    op2_toxicity.fit_chain(texts, y)
+    for f in range(folds):
+        use = fold != f
+        w = fit((np.cumsum(use) - 1)[row[use[row]]], feature[use[row]], int(use.sum()), scale_seen[0], np.zeros((int(use.sum()), 0)), first[use])
+        z = np.bincount(row, w[feature], 300) + w[-1]
+        assert np.allclose(1 / (1 + np.exp(-z[~use])), whole[1][1][~use, 0])
+    # the two kinds are the two vocabularies, without any list of words
+    kinds = whole[0][2]
+    assert {("vile" in t, k) for t, k, v in zip(texts, kinds, y) if v} in ({(True, 1.0), (False, 0.0)}, {(True, 0.0), (False, 1.0)})
+    assert (kinds + whole[1][2] == y).all()
+
+
 def test_toxicity_degenerate():
     empty = op2_toxicity.fit_chain([], np.zeros(0))
     assert empty.probabilities(pa.array(["a"], pa.large_string())).tolist() == [[0, 0, 0]]
@@ -54,6 +108,47 @@ def test_language_held_out(languages):
     assert np.mean([a == b for a, (_, b) in zip(lang, data)]) >= 0.95
 
 
+def segmentations(word, pieces):
+    if not word:
+        yield []
+    for n in range(1, len(word) + 1):
+        if word[:n] in pieces or n == 1:
+            for rest in segmentations(word[n:], pieces):
+                yield [word[:n], *rest]
+
+
+def test_language_fit_equals_brute_force():
+    pieces = sorted(["▁", "a", "b", "ab", "▁a", "ba", "aba"])
+    texts, langs = ["ab ab ba", "aba b", "bab ab", "ca bb"], ["x", "x", "y", "y"]
+    got = op3_language.fit(texts, langs, pieces, rounds=2)
+    p = {(w, la): 1 / (len(pieces) + 1) for w in pieces for la in "xy"}
+    for _ in range(2):
+        c = Counter()
+        for t, la in zip(texts, langs):
+            for w in t.split():
+                ways = list(segmentations(op3_language.START + w, pieces))
+                weights = [math.prod(p.get((x, la), op3_language.UNKNOWN) for x in way) for way in ways]
+                for way, v in zip(ways, weights):
+                    for x in way:
+                        if x in pieces:
+                            c[x, la] += v / sum(weights)
+        p = {(w, la): max(c[w, la] / sum(c[v, la] for v in pieces), op3_language.UNSEEN) for w in pieces for la in "xy"}
+    for i, w in enumerate(pieces):
+        assert np.allclose(got.p[i], [p[w, "x"], p[w, "y"]], rtol=1e-6)
+    # whole texts: the best language's score for each character, its lead
+    lang, score, lead, *_ = op3_language.Scorer(got)(pa.array(["ab aba ab"], pa.large_string()), ["x"])
+    logs = [sum(math.log(sum(math.prod(p.get((x, la), op3_language.UNKNOWN) for x in way) for way in segmentations(op3_language.START + w, pieces))) for w in "ab aba ab".split()) for la in "xy"]
+    assert lang == ["xy"[logs[1] > logs[0]]] and math.isclose(score[0], max(logs) / 10, rel_tol=1e-6) and math.isclose(lead[0], abs(logs[0] - logs[1]), rel_tol=1e-6)
+
+
+def test_language_without_spaces_is_fitted():
+    rng = random.Random(2)
+    say = lambda signs: "".join(rng.choice(signs) for _ in range(400))
+    model = op3_language.fit([say("あいうえお") for _ in range(9)] + [say("かきくけこ") for _ in range(9)], ["aa"] * 9 + ["kk"] * 9, [op3_language.START, *"あいうえおかきくけこ"])
+    assert op3_language.Scorer(model)(pa.array([say("あいうえお"), say("かきくけこ")], pa.large_string()), [None, None])[0] == ["aa", "kk"]
+    assert op3_language.fit(["a" * 63, "a" * 64, "a" * 200], ["x"] * 3, ["▁", "a"]).p[1, 0] > 0.9
+
+
 def test_language_forward_is_the_sum_over_all_segmentations(languages):
     pieces = {p: i for i, p in enumerate(op3_language.vocabulary())}
     for word in ("the", "über", "añejo", "zzqx", "☃a"):
@@ -120,6 +215,26 @@ def test_ppm_adaptive_is_a_probability():
         assert math.isclose(sum(2 ** -trie.bits(context, s) for s in range(256)), 1, rel_tol=1e-9)
 
 
+def test_ppm_dense_levels_and_search_agree(monkeypatch):
+    rng = np.random.default_rng(4)
+    every = np.unique(rng.integers(0, 2**24, 3_000).astype(np.uint64))
+    bits = rng.random(len(every)).astype(np.float32)
+    asked = np.concatenate([every[::3], rng.integers(0, 2**24, 500).astype(np.uint64)])
+    dense = op4_ppm.Prices(every, bits)
+    monkeypatch.setattr(op4_ppm, "MAX_ROWS", 10)
+    searched = op4_ppm.Prices(every, bits)
+    assert dense.levels is not None and searched.levels is None
+    assert np.array_equal(dense.of(asked), searched.of(asked))
+
+
+@pytest.mark.parametrize("slice_bytes", [20, 1 << 20])
+def test_ppm_by_broadcast_and_by_slices(spark, slice_bytes):
+    data = [(i, t) for i, t in enumerate(["long " * 9_000, "one text", None, "", "é ñ", "one text"] * 2)] + [(None, "no id"), (3, "another text"), (3, "another text")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    one = sorted(map(str, op4_ppm.code_lengths(df, 4).collect()))
+    assert len(one) == len(data) and sorted(map(str, op4_ppm.code_lengths(df, 4, max_rows=3, slice_bytes=slice_bytes).collect())) == one
+
+
 def test_ppm_in_spark_with_one_and_more_shards(spark):
     data = [(i, t) for i, t in enumerate(["hello there world", "hello there word", "", None, "abc abc abc", "hello there world"] * 3)] + [(0, "hello there world")]
     df = spark.createDataFrame(data, "doc_id bigint, text string").selectExpr("*", "1 AS bits", "2 AS half")
@@ -212,7 +327,11 @@ def test_pack_in_spark(spark):
             end = o + n
         assert end <= 32
     total = sum(n for p in by.values() for _, n in p)
-    assert total == sum(len((t or "").split()) + 1 for _, t in data)
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert total == sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in data)
     assert set(by) == set(range(len(by)))
     assert op5_packing.pack(df.limit(0), 32).count() == 0
 
@@ -239,7 +358,7 @@ ODD = ["", " ", "\n", "  \n\n  a", "it's we'll 'sting ''s 's  's\n's I'm!'s x'",
 
 def encode_all(bpe, texts):
     tokens, sizes, ok = op10_bpe.Encoder(bpe, op10_bpe.classes())(pa.array(texts, pa.large_string()))
-    assert ok
+    assert ok.all() and len(ok) == len(texts)
     return [x.tolist() for x in np.split(tokens, np.cumsum(sizes)[:-1])]
 
 
@@ -259,9 +378,29 @@ def test_bpe_pair_test_equals_merging(bpe):
     assert 0 < got.sum() < len(got)
 
 
-def test_bpe_merge_long_equals_short(bpe):
+def test_bpe_merge_long_equals_short(bpe, reference):
     for w in (b"anticonstitutionally", b"ererer", b"aaaaaaaaaaaaa"):
         assert bpe._merge_long(w, bpe.size) == bpe.merge(w)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeinrst") for _ in range(n)) for n in (63, 64, 65, 66, 100, 500, 3000)] + ["ab" * 400, "x" * 1000]
+    assert all(bpe.merge(w.encode()) == reference.encode_ordinary(w) for w in words)
+    assert encode_all(bpe, [*words, *words]) == [reference.encode_ordinary(w) for w in [*words, *words]]
+
+
+def test_bpe_tells_which_text_does_not_round_trip(bpe, monkeypatch):
+    encoder = op10_bpe.Encoder(bpe, op10_bpe.classes())
+    wrong = bpe.ranks[b"b"]
+    encode = bpe.encode_words
+    monkeypatch.setattr(bpe, "encode_words", lambda words: (lambda f, n, k: (np.where(f == bpe.ranks[b"c"], wrong, f), n, k))(*encode(words)))
+    assert encoder(pa.array(["a", "c", "", "b"], pa.large_string()))[2].tolist() == [True, False, True, True]
+
+
+def test_bpe_held_words_change_nothing(bpe, monkeypatch):
+    texts = [t for (t,) in rows(f"SELECT text FROM '{SF}/documents.parquet' ORDER BY doc_id LIMIT 40")]
+    whole = encode_all(bpe, texts)
+    monkeypatch.setattr(op10_bpe, "HELD_WORDS", 5)
+    encoder = op10_bpe.Encoder(bpe, op10_bpe.classes())
+    assert [encoder(pa.array([t], pa.large_string()))[0].tolist() for t in texts] == whole
 
 
 def test_bpe_in_spark(spark):
