@@ -190,13 +190,22 @@ def settled(docs: DataFrame, entries: DataFrame, n: int, t: float, want: str) ->
     smallest head it is connected with in its cell), or 'roots' (the same without links, where a pair that is connected already needs no intersection)."""
     spark = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wide = cells_of(entries, t).join(entries.select("eid", "n_grams", "keys", "bits"), "eid").select("tile", "eid", "band", "side", "n_grams", "keys", "bits")
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Half of each key goes along: it tells the first tile of a pair, and two tiles are taken for one in 2^32."""
+        for b in batches:
+            if b.num_rows:
+                k = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.uint64).astype(np.uint32).reshape(-1, BANDS)
+                yield pa.RecordBatch.from_arrays([b.column("eid"), b.column("n_grams"), pa.array([x.tobytes() for x in k], pa.binary()), b.column("bits")], names=["eid", "n_grams", "keys", "bits"])
+
+    shortened = entries.select("eid", "n_grams", "keys", "bits").mapInArrow(short, "eid bigint, n_grams int, keys binary, bits binary")
+    wide = cells_of(entries, t).join(shortened, "eid").select("tile", "eid", "band", "side", "n_grams", "keys", "bits")
     wide = wide.repartition(shuffles, "tile").sortWithinPartitions("tile", "n_grams", "eid")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tb in whole_groups(batches, "tile"):
             tile, ids, size, band, side = (tb[c].to_numpy() for c in ("tile", "eid", "n_grams", "band", "side"))
-            keys = np.frombuffer(b"".join(tb["keys"].to_pylist()), np.int64).reshape(-1, BANDS)
+            keys = np.frombuffer(b"".join(tb["keys"].to_pylist()), np.uint32).reshape(-1, BANDS)
             found = list(tile_candidates(tile, size.astype(np.int64), band, side, keys, tb["bits"].to_pylist(), t))
             if not found:
                 continue
