@@ -13,6 +13,8 @@ from strataseek.llm import op2_toxicity, op3_language, op5_packing, op7_secrets,
 from strataseek.llm.common import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: IDs that are broadcast, 64 MB; more of them are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 #: Nats for each character: a language trails the best one by BEHIND where it is plainly another; a text below NONE is in no language of the sample,
 #: one above PLAIN is plainly in one. On sf0.1 98 % of the texts are between -2.2 and -1.4. Each holds if it makes EVIDENCE nats over the text.
 BEHIND, NONE, PLAIN, EVIDENCE = 0.3, -4.0, -2.5, 30.0
@@ -43,8 +45,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by pairs of a Jaccard of at least 0.5, the one with the smallest doc_id stays; rows with a null doc_id stay."""
-    gone = op9_jaccard.duplicate_groups(docs)
-    return docs.select(*COLUMNS).join(gone.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    gone = written(op9_jaccard.duplicate_groups(docs).select("doc_id"), "pipeline-gone")
+    if gone.count() <= BROADCAST_IDS:  # else both sides move; the same documents go either way
+        gone = F.broadcast(gone)
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
