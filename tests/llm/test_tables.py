@@ -85,7 +85,7 @@ def test_merkle_corpus(spark, odd):
     assert op1_merkle.corpus_fingerprints(odd.limit(0)).count() == 0
 
 
-def model_bases(rows, hot):
+def model_bases(rows):
     """{doc_id: base_id} by comparing all pairs, for distinct doc_ids."""
     trees, own = {d: model_tree(t) for d, t in rows}, {}
     for d in sorted(trees):
@@ -93,18 +93,12 @@ def model_bases(rows, hot):
     own = sorted(own.values())
     leaves = {d: {h for s in trees[d][2] for h in s} for d in own}
     nodes = {d: {n for n, s in zip(*trees[d][1:]) if len(s) > 1} for d in own}
-    count = Counter(k for d in own for k in leaves[d] | nodes[d])
-    first = {}
-    for d in own:
-        for k in leaves[d] | nodes[d]:
-            first.setdefault(k, d)
     out = {}
     for d in own:
         best = (0, 0, 0)
         for e in (e for e in own if e < d):
-            rare = sum(count[k] <= hot for k in leaves[d] & leaves[e])
-            other = sum(count[k] <= hot for k in nodes[d] & nodes[e]) + sum(count[k] > hot and first[k] == e for k in (leaves[d] & leaves[e]) | (nodes[d] & nodes[e]))
-            best = max(best, (rare, other, -e)) if rare or other else best
+            shared = len(leaves[d] & leaves[e]), len(nodes[d] & nodes[e])
+            best = max(best, (*shared, -e)) if any(shared) else best
         if best[:2] > (0, 0):
             out[d] = -best[2]
     return out
@@ -133,7 +127,37 @@ def test_merkle_bases_equal_the_model(spark, monkeypatch, hot):
             base[rng.randrange(len(base))] = rng.choice(["the license line", "", f"new {rng.randint(0, 999)}"])
         rows.append((i * 7 % 60, "\n".join(base)))
     got = {r["doc_id"]: r["base_id"] for r in op1_merkle.corpus_fingerprints(docs_of(spark, [(d, t, "", "") for d, t in rows])).collect()}
-    assert {d: b for d, b in got.items() if b is not None} == model_bases(rows, hot)
+    assert {d: b for d, b in got.items() if b is not None} == model_bases(rows)
+
+
+def test_merkle_base_by_paragraphs_that_many_hold(spark):
+    rows = [(i, f"common {i % 2}\nalone {i}") for i in range(140)]
+    rows += [(200, "common 0\ncommon 1\nx"), (201, "common 0\ncommon 1\ny"), (202, "common 1\ncommon 0\nalone 7"), (203, "common 1")]
+    got = {r["doc_id"]: (r["base_id"], r["edited"]) for r in op1_merkle.corpus_fingerprints(docs_of(spark, [(d, t, "", "") for d, t in rows])).collect()}
+    # 202 shares two with 7, 200 and 201
+    assert got[200] == (0, [1, 2]) and got[201] == (200, [2]) and got[202] == (7, [1]) and got[203] == (1, [])
+
+
+@pytest.mark.parametrize("hot, sets, keys", [(1, 4, 1000), (2, 1000, 20), (3, 1000, 1000)])
+def test_merkle_bases_by_blocks_of_sets(spark, monkeypatch, hot, sets, keys):
+    for name, value in (("HOT", hot), ("BLOCK_SETS", sets), ("BLOCK_KEYS", keys)):
+        monkeypatch.setattr(op1_merkle, name, value)
+    rng = random.Random(5)
+    lines = [f"line {i}" for i in range(14)]
+    rows = [(i, "\n".join(rng.choice([*lines, ""]) for _ in range(rng.randint(1, 9)))) for i in rng.sample(range(1000), 90)]
+    table = docs_of(spark, [(d, t, "", "") for d, t in rows])
+    got = {r["doc_id"]: r["base_id"] for r in op1_merkle.corpus_fingerprints(table).collect()}
+    assert {d: b for d, b in got.items() if b is not None} == model_bases(rows)
+    text = F.lpad(F.col("doc_id").cast("string"), 4, "0")
+    got = {int(r["doc_id"]): r["base_id"] for r in op1_merkle.corpus_fingerprints(table.withColumn("doc_id", text)).collect()}
+    assert {d: int(b) for d, b in got.items() if b is not None} == model_bases(rows)
+
+
+def test_merkle_rows_of_one_doc_id_are_no_bases_of_each_other(spark, monkeypatch):
+    monkeypatch.setattr(op1_merkle, "HOT", 1)
+    rows = [(1, "a\nb\none"), (1, "a\nb\ntwo"), (1, "a\nb\nthree"), (0, "a\nzero"), (2, "a\nb\nfour")]
+    got = {(r["doc_id"], r["n_paragraphs"], r["base_id"]) for r in op1_merkle.corpus_fingerprints(docs_of(spark, [(d, t, "", "") for d, t in rows])).collect()}
+    assert got == {(1, 3, 0), (0, 2, None), (2, 3, 1)}
 
 
 # ops 2 and 3
