@@ -451,6 +451,16 @@ def test_break_points_agree_on_any_white_space(spark):
     assert [(r["position"], r["score"]) for r in chunk.break_points(df, "doc_id").orderBy("position").collect()] == chunk.scan_break_points(text)
 
 
+def test_no_line_moves_between_tasks(spark, monkeypatch):
+    monkeypatch.setattr(chunk, "HELD_PAIRS", 2)
+    rows = [(1, "a\nb\n```\nc\n```"), (1, "x\n```"), (None, "# h\n\n- i"), (2, None)]  # keys may repeat: each text is scanned for itself
+    df = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    for found, scan in ((chunk.break_points(df, "id"), chunk.scan_break_points), (chunk.code_fences(df, "id"), chunk.find_code_fences)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort" not in plan
+        assert [tuple(r) for r in found.collect()] == [(i, *pair) for i, t in rows for pair in scan(t or "")]
+
+
 def test_one_tokenisation_for_one_search(blocks):
     found = fulltext.search(fulltext.tables(blocks([("/a", "1", "fox dog"), ("/b", "1", "fox")])), ["fox", "dog"])
     found.collect()
