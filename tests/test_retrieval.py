@@ -469,6 +469,31 @@ def test_one_tokenisation_for_one_search(blocks):
     assert final.count("regexp_extract_all") == 1 and "ReusedExchange" in final
 
 
+def test_one_tokenisation_for_expanded_terms(blocks):
+    rows = [("/a", "1", "fox foxes fox box"), ("/a", "1", "fax"), ("/b", "1", "dog"), ("/b", "2", None), ("/c", "1", "--"), ("/c/d", "1", "foxglove dig fix")]
+    index = fulltext.tables(blocks(rows))
+    stored = fulltext.FullTextTables(index.blocks, fulltext.build_postings(index.blocks), index.stats, index.dfs, stored=True)
+    for query, prefix, fuzzy in (("fox dog", True, 0.34), ("fox", True, None), ("fox dig", False, 0.4), ("fox", False, None)):
+        for scope in (None, ["/c"]):
+            found, want = (fulltext.expanded_search(i, query, 10, prefix, fuzzy, scope) for i in (index, stored))
+            a, b = ([(*r[:2], round(r[2], 9)) for r in x.collect()] for x in (found, want))
+            assert a == b and (a or scope)
+            final = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+            assert final.count("regexp_extract_all") == 1 and "ReusedExchange" in final
+
+
+def test_postings_by_slices(blocks, monkeypatch):
+    monkeypatch.setattr(fulltext, "HELD_TOKENS", 3)
+    monkeypatch.setattr(fulltext, "HELD_ROWS", 2)
+    b = blocks([("/d", str(i), t) for i, t in enumerate(["b a b", None, "", "c c c c a b d e f", "-", "a"])] + [("/d", "0", "b a b")]).coalesce(1)
+    got = [tuple(r) for r in fulltext.build_postings(b).collect()]
+    tokens = [(str(i), t.split()) for i, t in ((0, "b a b"), (3, "c c c c a b d e f"), (5, "a"), (0, "b a b"))]
+    assert sorted(got) == sorted((w, "/d", i, ts.count(w), len(ts)) for i, ts in tokens for w in set(ts))
+    totals = {r["term"]: (r["df"], r["cf"]) for r in fulltext.term_totals(b).collect()}
+    assert totals == {w: (sum(w in ts for _, ts in tokens), sum(ts.count(w) for _, ts in tokens)) for _, ts in tokens for w in ts}
+    assert "Sort" not in fulltext.build_postings(b)._jdf.queryExecution().executedPlan().toString() and fulltext.build_postings(b)._jdf.queryExecution().executedPlan().toString().count("lambda") == 0
+
+
 # pipeline
 
 
