@@ -84,6 +84,27 @@ def search(blocks: DataFrame, queries: Sequence[Sequence[float]], k: int = DEFAU
 HELD_COMPONENTS = 32 << 20
 
 
+#: Scores that batch_search holds in a task at once: 8 MB, and some copies of it.
+HELD_SCORES = 1 << 20
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the k largest of each row; of equal ones at the k-th place the first columns."""
+    n = scores.shape[1]
+    if n <= k:
+        r, c = (x.ravel() for x in np.indices(scores.shape))
+        return r, c, scores.ravel()
+    if k <= 0:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    least = np.partition(scores, n - k, axis=1)[:, n - k, None]
+    taken = scores >= least
+    for i in np.flatnonzero(np.count_nonzero(taken, axis=1) > k):
+        equal = np.flatnonzero(scores[i] == least[i])
+        taken[i, equal[k - np.count_nonzero(scores[i] > least[i]) :]] = False
+    r, c = np.nonzero(taken)
+    return r, c, scores[r, c]
+
+
 def batch_search(blocks: DataFrame, requests: DataFrame, k: int = DEFAULT_DEPTH) -> DataFrame:
     """request_id, rank, path, block_id, score for many requests (request_id, embedding): the k best blocks of each.
 
@@ -111,6 +132,8 @@ def batch_search(blocks: DataFrame, requests: DataFrame, k: int = DEFAULT_DEPTH)
         for b in batches:
             if not b.num_rows:
                 continue
+            # in the order of keys, so that of equal scores the first ones count
+            b = b.sort_by([(c, "ascending") for c in KEY])
             rows = b.column("embedding")
             wrong = np.flatnonzero(np.diff(rows.offsets.to_numpy()) != q.shape[1])
             if len(wrong):
@@ -118,13 +141,10 @@ def batch_search(blocks: DataFrame, requests: DataFrame, k: int = DEFAULT_DEPTH)
             v = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
             n = np.sqrt((v * v).sum(1))
             v = v / np.where(n == 0, 1, n)[:, None]
-            for s in range(0, len(q), max(1, 4_000_000 // b.num_rows)):
-                part = q[s : s + max(1, 4_000_000 // b.num_rows)]
-                scores = np.round(part @ v.T, 9)
-                # ties at the k-th place all go on, so that path and block_id decide among them
-                least = np.partition(scores, -k, axis=1)[:, -k] if b.num_rows > k else np.full(len(part), -np.inf)
-                r, c = np.nonzero(scores >= least[:, None])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(s + r)), b.column("path").take(pa.array(c)), b.column("block_id").take(pa.array(c)), pa.array(scores[r, c])], names=["request_id", "path", "block_id", "score"])
+            step = max(1, HELD_SCORES // b.num_rows)
+            for s in range(0, len(q), step):
+                r, c, scores = _best(np.round(q[s : s + step] @ v.T, 9), k)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(s + r)), b.column("path").take(pa.array(c)), b.column("block_id").take(pa.array(c)), pa.array(scores)], names=["request_id", "path", "block_id", "score"])
 
     near = blocks.where("embedding IS NOT NULL").select(*KEY, "embedding").mapInArrow(run, schema)
     w = Window.partitionBy("request_id").orderBy(F.col("score").desc(), "path", "block_id")

@@ -4,6 +4,7 @@ import math
 import random
 import warnings
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -445,6 +446,19 @@ def test_ragged_and_repeated_rows(spark):
     assert vector.batch_search(ragged, asked.limit(0)).count() == 0
 
 
+def test_a_batch_hands_on_no_more_than_k_of_equal_scores(spark, monkeypatch):
+    scores = np.round(np.random.default_rng(1).integers(0, 4, (20, 30)) / 3, 9)
+    for k in (0, 1, 5, 29, 30, 40):
+        r, c, got = vector._best(scores, k)
+        want = [(i, j) for i in range(20) for j in sorted(sorted(range(30), key=lambda j: (-scores[i, j], j))[:k])]
+        assert list(zip(r, c)) == want and (got == scores[r, c]).all()
+    monkeypatch.setattr(vector, "HELD_SCORES", 70)
+    rows = [(f"/{i * 7 % 50:02}", "0", [0.0, 0.0] if i % 2 else [1.0, 0.0]) for i in range(50)]
+    asked = spark.createDataFrame([(i, [0.0, 1.0 * (i % 2)]) for i in range(9)], "request_id int, embedding array<float>")
+    found = vector.batch_search(vectors_of(spark, rows).coalesce(1), asked, 3)
+    assert {(r["request_id"], r["rank"], r["path"]) for r in found.collect()} == {(i, j + 1, f"/{j:02}") for i in range(9) for j in range(3)}
+
+
 def test_break_points_agree_on_any_white_space(spark):
     text = "a\n\u00a0\nb\n\u2003---\u3000\n1.\u00a0x\n\u0661. y\n\x1c- z\n\x0b\nend"
     df = spark.createDataFrame([(1, text)], "doc_id int, text string")
