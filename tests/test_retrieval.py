@@ -508,6 +508,28 @@ def test_postings_by_slices(blocks, monkeypatch):
     assert "Sort" not in fulltext.build_postings(b)._jdf.queryExecution().executedPlan().toString() and fulltext.build_postings(b)._jdf.queryExecution().executedPlan().toString().count("lambda") == 0
 
 
+def test_stored_postings_lose_deleted_blocks_without_tokenising(spark, tmp_path):
+    rows = [("/a/x", "1", "fox dog"), ("/ab", "1", "fox"), ("/b", "1", "dog dog"), ("/b", "2", "fox fox cat"), ("/c", "1", None)]
+    c = Catalog(spark, str(tmp_path / "root"))
+    text = c.create_index("i", SPECS).get_binding("text")
+    text.add_document(blocks_of(spark, rows))
+    assert "Join" not in text.blocks._jdf.queryExecution().executedPlan().toString()  # there is nothing that a first batch replaces
+    c.flush()
+    text.delete_documents([PathSelector("/a"), PathSelector("/b", "1")])
+    assert "MapInArrow" not in text.tables.postings._jdf.queryExecution().executedPlan().toString() and text.tables.stored
+    want = fulltext.tables(blocks_of(spark, [r for r in rows if r[:2] not in {("/a/x", "1"), ("/b", "1")}]))
+    for _ in range(2):  # before the flush and after
+        for name in ("postings", "dfs", "stats"):
+            a, b = (getattr(x, name) for x in (text.tables, want))
+            assert sorted(map(tuple, a.select(*b.columns).collect())) == sorted(map(tuple, b.collect()))
+        assert {r["path"] for r in text.search(FullTextQuery(["fox dog"])).collect()} == {"/b", "/ab"}
+        c.close()
+        c = Catalog(spark, str(tmp_path / "root"))
+        text = c.get_index("i").get_binding("text")
+    text.add_document(blocks_of(spark, [("/ab", "1", "dog")]))
+    assert text.search(FullTextQuery(["dog"])).count() == 1
+
+
 # pipeline
 
 
