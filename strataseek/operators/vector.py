@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataseek.functions.paths import KEY, any_prefix
-from strataseek.operators.fusion import top_k
+from strataseek.operators.fusion import DECIMALS, top_k
 
 DEFAULT_DEPTH = 100
 
@@ -143,11 +143,12 @@ def batch_search(blocks: DataFrame, requests: DataFrame, k: int = DEFAULT_DEPTH)
             v = v / np.where(n == 0, 1, n)[:, None]
             step = max(1, HELD_SCORES // b.num_rows)
             for s in range(0, len(q), step):
-                r, c, scores = _best(np.round(q[s : s + step] @ v.T, 9), k)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(s + r)), b.column("path").take(pa.array(c)), b.column("block_id").take(pa.array(c)), pa.array(scores)], names=["request_id", "path", "block_id", "score"])
+                exact = q[s : s + step] @ v.T
+                r, c, _ = _best(np.round(exact, DECIMALS), k)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(s + r)), b.column("path").take(pa.array(c)), b.column("block_id").take(pa.array(c)), pa.array(exact[r, c])], names=["request_id", "path", "block_id", "score"])
 
     near = blocks.where("embedding IS NOT NULL").select(*KEY, "embedding").mapInArrow(run, schema)
-    w = Window.partitionBy("request_id").orderBy(F.col("score").desc(), "path", "block_id")
+    w = Window.partitionBy("request_id").orderBy(F.round("score", DECIMALS).desc(), "path", "block_id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("request_id", "rank", *KEY, "score")
 
 

@@ -457,6 +457,9 @@ def test_a_batch_hands_on_no_more_than_k_of_equal_scores(spark, monkeypatch):
     asked = spark.createDataFrame([(i, [0.0, 1.0 * (i % 2)]) for i in range(9)], "request_id int, embedding array<float>")
     found = vector.batch_search(vectors_of(spark, rows).coalesce(1), asked, 3)
     assert {(r["request_id"], r["rank"], r["path"]) for r in found.collect()} == {(i, j + 1, f"/{j:02}") for i in range(9) for j in range(3)}
+    # scores are compared at 9 decimals, but not rounded
+    one = vector.batch_search(vectors_of(spark, [("/a", "0", [1.0, 2.0])]), spark.createDataFrame([(1, [1.0, 0.0])], "request_id int, embedding array<float>"), 1)
+    assert abs(one.collect()[0]["score"] - 5**-0.5) < 1e-14
 
 
 def test_break_points_agree_on_any_white_space(spark):
